@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op03_decontaminate, op04_quality, op07_lines, op08_minhash
+from . import op02_packing, op03_decontaminate, op04_quality, op07_lines, op08_minhash, op09_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing_bin_slack": op02_packing.query,
         "op3_benchmark_decontamination": op03_decontaminate.query,
         "op4_quality_llr": op04_quality.query,
         "op7_line_dedup": op07_lines.query,
         "op8_minhash_near_duplicates": op08_minhash.query,
+        "op9_token_blocks": op09_tokens.query,
     }
 
 
