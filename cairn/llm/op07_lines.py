@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .runtime import stable, table
 
-SALTS, DIVISOR, LONG, LEAST, REACH = 6, 2, 40, 8, 8
+NO_ID = (1 << 63) - 1
+
+SALTS, DIVISOR, LONG, LEAST, REACH = 4, 2, 40, 8, 4
 
 LINE = np.zeros(256, bool)
 LINE[10] = True
@@ -102,7 +104,7 @@ def chunk_table(column: pa.Array, ids: pa.Array) -> pa.RecordBatch | None:
     left = np.minimum(begin - row_first[begin], REACH)
     right = np.minimum(row_last[end] - end, REACH)
     base = lines.offsets[lines.row[begin]]
-    signed = lines.hash.view(np.int64)
+    signed = (lines.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def lists(at: np.ndarray, counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values[K.ragged(at, counts)], kind))
@@ -111,9 +113,9 @@ def chunk_table(column: pa.Array, ids: pa.Array) -> pa.RecordBatch | None:
     s, e = lines.starts - row_base, lines.ends - row_base
     return pa.RecordBatch.from_arrays(
         [
-            ids.take(pa.array(lines.row[begin])), pa.array(lines.starts[begin] - base), pa.array(lines.ends[end] - base), pa.array(h.view(np.int64)),
-            lists(begin - left, left, signed, pa.int64()), lists(begin - left, left, s, pa.int64()),
-            lists(end + 1, right, signed, pa.int64()), lists(end + 1, right, e, pa.int64()),
+            ids.take(pa.array(lines.row[begin])), pa.array(lines.starts[begin] - base, pa.int32()), pa.array(lines.ends[end] - base, pa.int32()), pa.array(h.view(np.int64)),
+            lists(begin - left, left, signed, pa.int32()), lists(begin - left, left, s, pa.int32()),
+            lists(end + 1, right, signed, pa.int32()), lists(end + 1, right, e, pa.int32()),
         ],
         ["id", "s", "e", "h", "lh", "ls", "rh", "re"],
     )
@@ -126,12 +128,12 @@ def chunks(docs: DataFrame) -> DataFrame:
             if out is not None:
                 yield out
 
-    return _narrow(docs).mapInArrow(cut, "id long, s long, e long, h long, lh array<long>, ls array<long>, rh array<long>, re array<long>")
+    return _narrow(docs).mapInArrow(cut, "id long, s int, e int, h long, lh array<int>, ls array<int>, rh array<int>, re array<int>")
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
     """A null id counts as the largest long."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("text").cast("string").alias("__text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("__text"))
 
 
 def _stretch() -> tuple:
@@ -160,24 +162,25 @@ def removals(docs: DataFrame) -> DataFrame:
     return pairs.select("id", s.alias("s"), e.alias("e"), "m_id", ms.alias("m_s"), me.alias("m_e")).distinct()
 
 
-def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(m_id, m_s, m_e, bytes) of the wanted places (m_id, m_s, m_e)."""
+def _slices(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(m_id, m_s, m_e, model) with the bytes of the wanted places (m_id, m_s, m_e)."""
     ranges = wanted.groupBy("m_id").agg(F.collect_set(F.struct("m_s", "m_e")).alias("r"))
-    text = _narrow(docs).join(ranges, F.col("id") == F.col("m_id"))
+    found = rows.join(ranges, F.col("__id") == F.col("m_id")).select("__id", "r", "__row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, starts, ends, out = [], [], [], []
-            for i, t, ranges_ in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                raw = (t or "").encode()
+            for i, ranges_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).field("text").to_pylist()):
+                raw = "" if t is None else t if isinstance(t, str) else str(t)
+                raw = raw.encode()
                 for r in ranges_:
                     ids.append(i)
                     starts.append(r["m_s"])
                     ends.append(r["m_e"])
                     out.append(raw[r["m_s"] : r["m_e"]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(out, pa.binary())], ["m_id", "m_s", "m_e", "model"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(out, pa.binary())], ["m_id", "m_s", "m_e", "model"])
 
-    return text.select("m_id", "__text", "r").mapInArrow(cut, "m_id long, m_s long, m_e long, model binary").dropDuplicates(["m_id", "m_s", "m_e"])
+    return found.mapInArrow(cut, "m_id long, m_s int, m_e int, model binary").dropDuplicates(["m_id", "m_s", "m_e"])
 
 
 def cutter():
@@ -213,11 +216,12 @@ def cutter():
 def with_cuts(docs: DataFrame) -> DataFrame:
     """docs (its columns as struct `__row`) with `__cut`, struct(text, n_ranges, n_bytes); null where nothing repeats."""
     pairs = stable(removals(docs))
-    models = _slices(docs, pairs.select("m_id", "m_s", "m_e"))
+    # Both joins read one and the same exchange: the texts are shuffled once.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), F.struct(*[docs[c] for c in docs.columns]).alias("__row")).repartition("__id")
+    models = _slices(rows, pairs.select("m_id", "m_s", "m_e"))
     lists = pairs.join(models, ["m_id", "m_s", "m_e"]).groupBy("id").agg(F.collect_list(F.struct("s", "e", "model")).alias("__ranges"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__id"))
-    joined = rows.join(lists.withColumnRenamed("id", "__id"), "__id", "left")
-    return joined.select("__row", F.when(F.col("__ranges").isNotNull(), cutter()(F.col("__row.text").cast("string"), F.col("__ranges"))).alias("__cut"))
+    joined = rows.join(lists, F.col("__id") == F.col("id"), "left")
+    return joined.select("__row", F.when(F.col("__ranges").isNotNull(), cutter()(F.when(F.col("__ranges").isNotNull(), F.col("__row.text").cast("string")), F.col("__ranges"))).alias("__cut"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -231,7 +235,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, text (cleaned), n_ranges and n_bytes of every document that lost lines."""
-    out = with_cuts(docs).filter("__cut.n_bytes > 0")
+    out = with_cuts(docs.select("doc_id", "text")).filter("__cut.n_bytes > 0")
     return out.select("__row.doc_id", "__cut.text", "__cut.n_ranges", "__cut.n_bytes")
 
 
