@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -158,8 +158,14 @@ def removals(docs: DataFrame) -> DataFrame:
     models = models.dropDuplicates(["h"])
     pairs = found.join(models, "h").filter((F.col("id") != F.col("m_id")) | (F.col("s") != F.col("m_s")))
     pairs = pairs.withColumn("lr", F.reverse("lh")).withColumn("m_lr", F.reverse("m_lh"))
-    s, e, ms, me = _stretch()
-    return pairs.select("id", s.alias("s"), e.alias("e"), "m_id", ms.alias("m_s"), me.alias("m_e")).distinct()
+    s, e, ms, _ = _stretch()
+    ranges = pairs.select("id", "m_id", (s - ms).alias("shift"), s.alias("s"), e.alias("e"))
+    # Ranges that touch and lie at the same distance from their models are one.
+    run = Window.partitionBy("id", "m_id", "shift").orderBy("s", "e")
+    before = F.max("e").over(run.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.withColumn("new", F.when(F.col("s") <= before + 1, 0).otherwise(1)).withColumn("part", F.sum("new").over(run))
+    ranges = ranges.groupBy("id", "m_id", "shift", "part").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return ranges.select("id", "s", "e", "m_id", (F.col("s") - F.col("shift")).alias("m_s"), (F.col("e") - F.col("shift")).alias("m_e"))
 
 
 def _slices(rows: DataFrame, wanted: DataFrame) -> DataFrame:
