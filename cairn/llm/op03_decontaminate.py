@@ -27,6 +27,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,6 +223,17 @@ class Index:
                 out[doc[k]].append({"item_id": int(ids[which[k]]), "word_start": int(near[k] - bounds[doc[k]]), "n_words": n, "distance": int(far[k])})
 
 
+def _leak_udf(index: Broadcast):
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("word_start", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32())]))
+
+    @F.arrow_udf(LEAK)
+    def leak(column: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([column], ["t"])
+        return pa.array([x for piece in K.pieces(iter([batch]), 0) for x in index.value.leaks(piece.column(0))], kind)
+
+    return leak
+
+
 def with_leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """docs with `__leaks`, the items that leak into each document."""
     spark = docs.sparkSession
@@ -231,16 +243,10 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, bl
         if len(held) == block:
             blocks.append(held)
             held = []
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("word_start", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32())]))
     parts = []
     for part in [*blocks, held]:
-        index = spark.sparkContext.broadcast(Index([-1 if r[0] is None else r[0] for r in part], [r[1] for r in part], recall))
-
-        def leak(column: pa.Array, index=index) -> pa.Array:
-            batch = pa.RecordBatch.from_arrays([column], ["t"])
-            return pa.array([x for piece in K.pieces(iter([batch]), 0) for x in index.value.leaks(piece.column(0))], kind)
-
-        parts.append(F.arrow_udf(leak, LEAK)(F.col("text").cast("string")))
+        index = Index([-1 if r[0] is None else r[0] for r in part], [r[1] for r in part], recall)
+        parts.append(_leak_udf(spark.sparkContext.broadcast(index))(F.col("text").cast("string")))
     return docs.withColumn("__leaks", F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
