@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_packing, op03_decontaminate, op04_quality, op07_lines, op08_minhash, op09_tokens
+from . import op02_packing, op03_decontaminate, op04_quality, op07_lines, op08_minhash, op09_tokens, op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op07_lines.query,
         "op8_minhash_near_duplicates": op08_minhash.query,
         "op9_token_blocks": op09_tokens.query,
+        "op10_toxicity_crf": op10_toxicity.query,
     }
 
 
