@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_packing, op03_decontaminate, op04_quality, op07_lines, op08_minhash, op09_tokens, op10_toxicity
+from . import op01_pii, op02_packing, op03_decontaminate, op04_quality, op07_lines, op08_minhash, op09_tokens, op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_skip_chain": op01_pii.query,
         "op2_packing_bin_slack": op02_packing.query,
         "op3_benchmark_decontamination": op03_decontaminate.query,
         "op4_quality_llr": op04_quality.query,
