@@ -252,7 +252,8 @@ def entities(column: pa.Array, model: dict) -> list[list[dict]]:
         inner = max(_inside[label].finditer(nodes.token[k]), key=lambda m: len(m[0]), default=None)
         s, e = (inner.start(), inner.end()) if inner else (0, len(nodes.token[k]))
         found = {"label": label, "start": int(nodes.start[k]) + s, "end": int(nodes.start[k]) + e}
-        if k in joined and best[k - 1] == best[k] and label in ("PHONE", "CARD") and out[row]:
+        whole = label == "CARD" and (len(_ascii_digits(nodes.token[k])) > 6 or len(_ascii_digits(nodes.token[k - 1])) > 6)
+        if k in joined and best[k - 1] == best[k] and label in ("PHONE", "CARD") and not whole and out[row]:
             out[row][-1]["end"] = found["end"]
         else:
             out[row].append(found)
