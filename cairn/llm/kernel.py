@@ -28,7 +28,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R**i and R**-i for i < n, modulo 2**64."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         for k, base in enumerate((R, R_INV)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

@@ -231,7 +231,8 @@ def _leak_udf(index: Broadcast):
         batch = pa.RecordBatch.from_arrays([column], ["t"])
         return pa.array([x for piece in K.pieces(iter([batch]), 0) for x in index.value.leaks(piece.column(0))], kind)
 
-    return leak
+    # Else a filter on the result would be moved below it and compute it twice.
+    return leak.asNondeterministic()
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, block: int = BLOCK) -> DataFrame:

@@ -89,7 +89,8 @@ def scorer(w: np.ndarray, bits: int = BITS):
         flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (sums, counts)]
         return pa.StructArray.from_arrays(flat, ["score_micro", "n_grams"])
 
-    return score
+    # Else a filter on the result would be moved below it and compute it twice.
+    return score.asNondeterministic()
 
 
 def scored(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:

@@ -216,7 +216,8 @@ def cutter():
             out.append({"text": left.decode("utf-8", "replace"), "n_ranges": n, "n_bytes": len(raw) - len(left)})
         return pa.array(out, pa.struct([("text", pa.string()), ("n_ranges", pa.int32()), ("n_bytes", pa.int64())]))
 
-    return cut
+    # Else a filter on the result would be moved below it and compute it twice.
+    return cut.asNondeterministic()
 
 
 def with_cuts(docs: DataFrame) -> DataFrame:

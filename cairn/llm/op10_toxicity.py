@@ -34,7 +34,7 @@ from . import kernel as K
 from .op08_minhash import BANDS, ROWS, _salts, band_keys, folded_words, minima, shingled
 from .runtime import table
 
-SAMPLE, FIT, PRECISION, MARGIN, CUT, BITS, ROUNDS = 1500, 400, 0.95, 4.0, 0.5, 18, 30
+SAMPLE, FIT, PRECISION, MARGIN, CUT, BITS, ROUNDS = 1200, 300, 0.95, 4.0, 0.5, 18, 20
 STEMS = (4, 5, 6, 7, 8)
 
 
@@ -76,12 +76,18 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> tuple[list[str], np
     return rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.int64)
 
 
+def slices(texts: list[str], *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The sample in slices of half a megabyte: the driver holds little more than the texts."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *map(pa.array, more)], ["t", *map(str, range(len(more)))])
+    return K.pieces(iter([batch]), 0, 1 << 19)
+
+
 def without_copies(texts: list[str]) -> np.ndarray:
     """Indices of the texts that share no MinHash band with an earlier one."""
     xor, times = _salts(BANDS * ROWS)
     known: set[int] = set()
     out, at = [], 0
-    for piece in K.pieces(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])]), 0):
+    for piece in slices(texts):
         _, shingles, bounds = shingled(piece.column(0))
         low = shingles.astype(np.uint32)
         for i in range(piece.num_rows):
@@ -99,8 +105,7 @@ def offensive_units(texts: list[str], toxic: np.ndarray, precision: float = PREC
     if not n.all():
         return np.zeros(0, np.uint64)
     seen: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(toxic)], ["t", "y"])
-    for piece in K.pieces(iter([batch]), 0):
+    for piece in slices(texts, toxic):
         words = folded_words(piece.column(0))
         own, r, y = units(words), words.range, piece.column(1).to_numpy()
         for i in range(piece.num_rows):
@@ -180,10 +185,13 @@ def tag(column: pa.Array, model: dict, cut: float = CUT) -> tuple[np.ndarray, li
 
 def holds(texts: list[str], found: np.ndarray) -> np.ndarray:
     """Whether each text holds an offensive unit."""
-    words = folded_words(pa.array(texts, pa.string()))
-    own = units(words)
-    hit = (found[np.minimum(np.searchsorted(found, own), len(found) - 1)] == own).any(axis=0) if len(found) else np.zeros(len(words), bool)
-    return K.row_sums(hit.astype(np.int64), words.range) > 0
+    out = [np.zeros(0, bool)]
+    for piece in slices(texts):
+        words = folded_words(piece.column(0))
+        own = units(words)
+        hit = (found[np.minimum(np.searchsorted(found, own), len(found) - 1)] == own).any(axis=0) if len(found) else np.zeros(len(words), bool)
+        out.append(K.row_sums(hit.astype(np.int64), words.range) > 0)
+    return np.concatenate(out)
 
 
 def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
@@ -210,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, few: int = FIT)
     hard = np.flatnonzero((toxic == 0) & holds(texts, found))[:few]
     use = np.concatenate([np.flatnonzero(toxic == 1)[:few], hard, np.setdiff1d(np.flatnonzero(toxic == 0), hard)[: few - len(hard)]])
     model = train([texts[i] for i in use], toxic[use], found)
-    score = [tag(piece.column(0), model)[0] for piece in K.pieces(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])]), 0)]
+    score = [tag(piece.column(0), model)[0] for piece in slices(texts)]
     model["cut"] = best_cut(np.concatenate([np.zeros(0), *score]), toxic)
     return model
 
