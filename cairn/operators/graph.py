@@ -168,3 +168,10 @@ def event_pairs(edges: DataFrame) -> DataFrame:
     side = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("src"))))
     used = edges.filter(F.col("kind").isin("emits", "consumes"))
     return used.groupBy(F.col("dst").alias("event")).agg(side("emits").alias("emitters"), side("consumes").alias("consumers"))
+
+
+def flow_vs_map(observed: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(src, dst, status) of observed pairs and those of the map: confirmed, discovered or unobserved."""
+    sides = [df.select("src", "dst", F.lit(name).alias("side")) for df, name in ((observed, "o"), (mapped, "m"))]
+    both = sides[0].unionByName(sides[1]).groupBy("src", "dst").agg(F.bool_or(F.col("side") == "o").alias("o"), F.bool_or(F.col("side") == "m").alias("m"))
+    return both.select("src", "dst", F.when(F.col("o") & F.col("m"), "confirmed").when(F.col("o"), "discovered").otherwise("unobserved").alias("status"))

@@ -11,6 +11,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import sketch_containment, sketch_jaccard, size_ratio
 from .graph import stored
@@ -46,7 +47,7 @@ def exact_moves(old: DataFrame, new: DataFrame) -> DataFrame:
     return body.unionByName(logic)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio; distinct pairs of a batch are compared once."""
     known: dict[tuple, float] = {}

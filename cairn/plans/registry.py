@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import corpus, graphs, logs
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+entry = graphs.entry
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return corpus.QUERIES | graphs.QUERIES | logs.QUERIES
 
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+def oracle_sql() -> dict[str, str]:
+    return corpus.SQL | graphs.SQL | logs.SQL
