@@ -5,11 +5,12 @@ if the rolling hash of the last WINDOW (1 for even salts, 2 for odd ones) line h
 the salt, is 0 modulo DIVISOR; a line of LONG words and more always stands alone. Boundaries depend
 on nothing but the lines around them, so text that is inserted elsewhere doesn't shift them.
 A chunk takes part if it has two lines and more that aren't blank, or one of LONG words; and at
-least LEAST words in all.
+least LEAST words in all. Two places must cut a passage alike for such a chunk to be found, so the
+shortest chunk from each line on and the shortest one up to each line take part too: whatever lines
+two places share that would make a chunk, all of them lie in such runs, wherever boundaries fall.
 
 A chunk that occurs in several places stays at the first of them, in order of (doc_id, start), and
-goes everywhere else; it is stretched over the neighbouring chunks' lines as long as these are the
-same as at the place that stays. Before anything goes, the bytes at both places are compared.
+goes everywhere else. Before anything goes, the bytes at both places are compared.
 
 Defined cases. Null and empty texts stay as they are. Rows of null doc_id come after all others in
 order. Rows that repeat a doc_id and text are the same place: each keeps what that place keeps.
@@ -32,7 +33,7 @@ from .runtime import stable, table
 
 NO_ID = (1 << 63) - 1
 
-SALTS, DIVISOR, LONG, LEAST, REACH = 4, 2, 40, 8, 4
+SALTS, DIVISOR, LONG, LEAST = 6, 2, 40, 8
 
 LINE = np.zeros(256, bool)
 LINE[10] = True
@@ -75,13 +76,21 @@ def cuts(lines: Lines, salt: int) -> np.ndarray:
     return cut | ends
 
 
+def runs(lines: Lines, row_first: np.ndarray, row_last: np.ndarray, total: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(first, last) lines of the shortest chunk from each line on, and of the shortest one up to each line."""
+    at, long = np.arange(len(lines.words)), lines.words >= LONG
+    last = np.where(long, at, np.maximum(np.searchsorted(total, total[:-1] + LEAST, "left") - 1, at + 1))
+    first = np.where(long, at, np.minimum(np.searchsorted(total, total[1:] - LEAST, "right") - 1, at - 1))
+    on, up = last <= row_last, first >= row_first
+    return [(at[on], last[on]), (first[up], at[up])]
+
+
 def chunk_table(column: pa.Array, ids: pa.Array) -> pa.RecordBatch | None:
-    """One row a chunk that takes part: id, start and end bytes, hash, and the neighbours' line hashes."""
+    """One row a chunk that takes part: id, start and end bytes, hash."""
     lines = Lines(column)
     n = len(lines.starts)
     if not n:
         return None
-    parts = []
     last_of_row = np.empty(n, bool)
     last_of_row[:-1], last_of_row[-1] = lines.first[1:], True
     row_first = np.maximum.accumulate(np.where(lines.first, np.arange(n), 0))
@@ -89,36 +98,22 @@ def chunk_table(column: pa.Array, ids: pa.Array) -> pa.RecordBatch | None:
     total = np.concatenate(([0], np.cumsum(lines.words)))
     up, down = K.powers(n + 1)
     rolled = np.concatenate((np.zeros(1, np.uint64), np.cumsum(lines.hash * up[:n])))
+    parts = runs(lines, row_first, row_last, total)
     for salt in range(SALTS):
         end = np.flatnonzero(cuts(lines, salt))
         begin = np.concatenate(([0], end[:-1] + 1))
-        size, words = end - begin + 1, total[end + 1] - total[begin]
-        ok = ((size > 1) | (words >= LONG)) & (words >= LEAST)
-        begin, end, size = begin[ok], end[ok], size[ok]
-        h = K.mix((rolled[end + 1] - rolled[begin]) * down[begin] + size.astype(np.uint64))
-        parts.append((begin, end, h))
-    begin, end, h = (np.concatenate(x) for x in zip(*parts))
-    # The same lines can be a chunk of several chunkings: once is enough.
-    _, once = np.unique(np.stack([begin, end]), axis=1, return_index=True)
-    begin, end, h = begin[once], end[once], h[once]
-    left = np.minimum(begin - row_first[begin], REACH)
-    right = np.minimum(row_last[end] - end, REACH)
+        words = total[end + 1] - total[begin]
+        ok = ((end > begin) | (words >= LONG)) & (words >= LEAST)
+        parts.append((begin[ok], end[ok]))
+    begin, end = (np.concatenate(x) for x in zip(*parts))
+    # The same lines can be a chunk several times: once is enough.
+    begin, end = np.divmod(np.unique(begin * n + end), n)
+    h = K.mix((rolled[end + 1] - rolled[begin]) * down[begin] + (end - begin + 1).astype(np.uint64))
     base = lines.offsets[lines.row[begin]]
-    signed = (lines.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-    def lists(at: np.ndarray, counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values[K.ragged(at, counts)], kind))
-
-    row_base = lines.offsets[lines.row]
-    s, e = lines.starts - row_base, lines.ends - row_base
     return pa.RecordBatch.from_arrays(
-        [
-            ids.take(pa.array(lines.row[begin])), pa.array(lines.starts[begin] - base, pa.int32()), pa.array(lines.ends[end] - base, pa.int32()), pa.array(h.view(np.int64)),
-            lists(begin - left, left, signed, pa.int32()), lists(begin - left, left, s, pa.int32()),
-            lists(end + 1, right, signed, pa.int32()), lists(end + 1, right, e, pa.int32()),
-        ],
-        ["id", "s", "e", "h", "lh", "ls", "rh", "re"],
-    )
+        [ids.take(pa.array(lines.row[begin])), pa.array(lines.starts[begin] - base, pa.int32()), pa.array(lines.ends[end] - base, pa.int32()), pa.array(h.view(np.int64))],
+        ["id", "s", "e", "h"],
+    )
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -128,7 +123,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             if out is not None:
                 yield out
 
-    return _narrow(docs).mapInArrow(cut, "id long, s int, e int, h long, lh array<int>, ls array<int>, rh array<int>, re array<int>")
+    return _narrow(docs).mapInArrow(cut, "id long, s int, e int, h long")
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -136,30 +131,11 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("__text"))
 
 
-def _stretch() -> tuple:
-    """Starts and ends of a chunk and its model, after equal neighbouring lines are added."""
-
-    def common(a: str, b: str):
-        """Length of the common prefix of two arrays."""
-        pairs = F.zip_with(F.col(a), F.col(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
-        return F.when(F.array_contains(pairs, False), F.array_position(pairs, False) - 1).otherwise(F.size(pairs)).cast("int")
-
-    n_left, n_right = common("lr", "m_lr"), common("rh", "m_rh")
-    pick = lambda arr, n, of, back: F.when(n > 0, F.element_at(F.col(arr), F.when(n > 0, -n if back else n).otherwise(1))).otherwise(F.col(of))
-    return pick("ls", n_left, "s", True), pick("re", n_right, "e", False), pick("m_ls", n_left, "m_s", True), pick("m_re", n_right, "m_e", False)
-
-
 def removals(docs: DataFrame) -> DataFrame:
     """(id, s, e, m_id, m_s, m_e): byte ranges that may go, each with the place of the same lines that stays."""
-    found = stable(chunks(docs))
-    first = found.groupBy("h").agg(F.min(F.struct("id", "s", "e")).alias("m"), F.max(F.struct("id", "s", "e")).alias("z")).filter("m <> z")
-    first = first.select("h", F.col("m.id").alias("m_id"), F.col("m.s").alias("m_s"), F.col("m.e").alias("m_e"))
-    models = first.join(found.select("h", F.col("id").alias("m_id"), F.col("s").alias("m_s"), F.col("e").alias("m_e"), *[F.col(c).alias(f"m_{c}") for c in ("lh", "ls", "rh", "re")]), ["h", "m_id", "m_s", "m_e"])
-    models = models.dropDuplicates(["h"])
-    pairs = found.join(models, "h").filter((F.col("id") != F.col("m_id")) | (F.col("s") != F.col("m_s")))
-    pairs = pairs.withColumn("lr", F.reverse("lh")).withColumn("m_lr", F.reverse("m_lh"))
-    s, e, ms, _ = _stretch()
-    ranges = pairs.select("id", "m_id", (s - ms).alias("shift"), s.alias("s"), e.alias("e"))
+    found = chunks(docs).withColumn("m", F.min(F.struct("id", "s", "e")).over(Window.partitionBy("h")))
+    pairs = found.filter((F.col("id") != F.col("m.id")) | (F.col("s") != F.col("m.s")))
+    ranges = pairs.select("id", F.col("m.id").alias("m_id"), (F.col("s") - F.col("m.s")).alias("shift"), "s", "e")
     # Ranges that touch and lie at the same distance from their models are one.
     run = Window.partitionBy("id", "m_id", "shift").orderBy("s", "e")
     before = F.max("e").over(run.rowsBetween(Window.unboundedPreceding, -1))
