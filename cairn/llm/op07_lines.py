@@ -10,7 +10,9 @@ shortest chunk from each line on and the shortest one up to each line take part
 two places share that would make a chunk, all of them lie in such runs, wherever boundaries fall.
 
 A chunk that occurs in several places stays at the first of them, in order of (doc_id, start), and
-goes everywhere else. Before anything goes, the bytes at both places are compared.
+goes everywhere else. Places are the same if their bytes are, blank lines between included. Before
+anything goes, the bytes at both places are compared; where a range of several chunks differs, the
+runs of equal lines in it that would make a chunk still go.
 
 Defined cases. Null and empty texts stay as they are. Rows of null doc_id come after all others in
 order. Rows that repeat a doc_id and text are the same place: each keeps what that place keeps.
@@ -96,8 +98,6 @@ def chunk_table(column: pa.Array, ids: pa.Array) -> pa.RecordBatch | None:
     row_first = np.maximum.accumulate(np.where(lines.first, np.arange(n), 0))
     row_last = np.minimum.accumulate(np.where(last_of_row, np.arange(n), n)[::-1])[::-1]
     total = np.concatenate(([0], np.cumsum(lines.words)))
-    up, down = K.powers(n + 1)
-    rolled = np.concatenate((np.zeros(1, np.uint64), np.cumsum(lines.hash * up[:n])))
     parts = runs(lines, row_first, row_last, total)
     for salt in range(SALTS):
         end = np.flatnonzero(cuts(lines, salt))
@@ -108,10 +108,12 @@ def chunk_table(column: pa.Array, ids: pa.Array) -> pa.RecordBatch | None:
     begin, end = (np.concatenate(x) for x in zip(*parts))
     # The same lines can be a chunk several times: once is enough.
     begin, end = np.divmod(np.unique(begin * n + end), n)
-    h = K.mix((rolled[end + 1] - rolled[begin]) * down[begin] + (end - begin + 1).astype(np.uint64))
+    # Of the bytes, blank lines between included: what differs there has a first place of its own.
+    s, e = lines.starts[begin], lines.ends[end]
+    h = K.mix(K.span_hashes(lines.data, s, e) + (e - s).astype(np.uint64) * np.uint64(K.PAIR))
     base = lines.offsets[lines.row[begin]]
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(lines.row[begin])), pa.array(lines.starts[begin] - base, pa.int32()), pa.array(lines.ends[end] - base, pa.int32()), pa.array(h.view(np.int64))],
+        [ids.take(pa.array(lines.row[begin])), pa.array(s - base, pa.int32()), pa.array(e - base, pa.int32()), pa.array(h.view(np.int64))],
         ["id", "s", "e", "h"],
     )
 
@@ -165,6 +167,23 @@ def _slices(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(cut, "m_id long, m_s int, m_e int, model binary").dropDuplicates(["m_id", "m_s", "m_e"])
 
 
+def alike(a: bytes, b: bytes) -> list[tuple[int, int]]:
+    """Byte ranges of the runs of lines equal and at the same place in a and b that would make a chunk."""
+    out, at, begin, n_lines, n_words, longest = [], 0, 0, 0, 0, 0
+    for line in [*a.split(b"\n"), None]:
+        end = len(a) if line is None else at + len(line)
+        same = line is not None and b[at:end] == line and (not at or b[at - 1 : at] == b"\n") and b[end : end + 1] in (b"", b"\n")
+        if same:
+            k = len(line.split())
+            n_lines, n_words, longest = n_lines + (k > 0), n_words + k, max(longest, k)
+        else:
+            if n_words >= LEAST and (n_lines > 1 or longest >= LONG):
+                out.append((begin, at - 1))
+            begin, n_lines, n_words, longest = end + 1, 0, 0, 0
+        at = end + 1
+    return out
+
+
 def cutter():
     """(text, ranges with the bytes that stay elsewhere) to (text without them, ranges cut, bytes cut)."""
 
@@ -175,11 +194,11 @@ def cutter():
             if t is None or not found:
                 out.append({"text": t, "n_ranges": 0, "n_bytes": 0})
                 continue
-            raw, keep, at, n = t.encode(), [], 0, 0
-            for r in sorted(found, key=lambda r: (r["s"], r["e"])):
+            raw, keep, at, n, spans = t.encode(), [], 0, 0, []
+            for r in found:
                 s, e = r["s"], r["e"]
-                if raw[s:e] != r["model"]:
-                    continue
+                spans += [(s, e)] if raw[s:e] == r["model"] else [(s + x, s + y) for x, y in alike(raw[s:e], r["model"])]
+            for s, e in sorted(spans):
                 n += 1
                 if e <= at:
                     continue

@@ -26,3 +26,24 @@ def test_every_second_copy_of_a_short_passage_goes(spark):
             rows.append((i + 1000 * copy, "\n".join([before, *lines, after])))
             left[i + 1000 * copy] = f"{before}\n{after}" if copy else rows[-1][1]
     assert cleaned(spark, rows) == left
+
+
+def test_blank_lines_at_the_first_place_keep_no_other_copies(spark):
+    parts, near = [words(20) for _ in range(3)], words(9)
+    rows = [(1, "\n\n".join(parts))] + [(i, words(11) + "\n" + "\n".join(parts) + "\n" + words(11)) for i in range(2, 8)]
+    # Here blank lines differ beside the passage only.
+    more = [words(20) for _ in range(3)]
+    rows += [(20, near + "\n\n" + "\n".join(more)), (21, near + "\n" + "\n".join(more) + "\n" + words(11))]
+    after = cleaned(spark, rows)
+    text = dict(rows)
+    assert all(after[i] == text[i] for i in (1, 2, 20))
+    assert all(after[i] == text[i].replace("\n".join(parts) + "\n", "") for i in range(3, 8))
+    assert after[21] == text[21].replace("\n".join(more) + "\n", "")
+
+
+def test_equal_lines_within_a_range_that_differs():
+    a = "\n".join([words(6), words(6), "x " * 9, words(6), words(3)]).encode()
+    b = a.replace(b"x", b"y")
+    cut = a.index(b"x") - 1
+    assert op07_lines.alike(a, a) == [(0, len(a))]
+    assert op07_lines.alike(a, b) == [(0, cut), (cut + 20, len(a))]
