@@ -1,19 +1,21 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, edit verification.
 
 Strings are sequences of folded words (lower case, letters and digits). An item of n words leaks
-into a document if some window of n words lies within edit distance floor(n / TOLERANCE) of it,
-counted in words.
+into a document if some span of its words lies within edit distance t = floor(n / TOLERANCE) of it,
+counted in words; such a span has n - t to n + t words.
 
 1. Windows that share too few word q-grams with the items are passed over. An edit spoils q of an
-   item's q-grams at most, so a window within t edits of an item with d different q-grams has d - q * t
-   of them, or one: none is lost.
+   item's q-grams at most, and an insertion q - 1, so the window of n words from the start of a span
+   within t edits of an item with d different q-grams has d - q * t of them, or one, even if it cuts
+   the span's inserted length off: none is lost. Windows that the document's end cuts are padded.
 2. The CGK random walk writes each remaining window and each item as a string of 3 n symbols whose
    Hamming distance follows the edit distance: at step j the current symbol is written, and a random
    bit of (j, symbol) says whether the walk moves on. REPEATS walks are taken; from each, SAMPLES
    sets of positions give one key a set. Their number is chosen by simulation for the target recall
-   at the largest distance allowed.
-3. Windows that share a key with an item of their length, and those up to t words away, are compared
-   with it by dynamic programming. The closest one, and of these the first, is reported.
+   at the largest distance allowed, for the worst of insertions, deletions, substitutions and a mix.
+3. Where a window shares a key with an item of its length, the spans of n - t to n + t words from its
+   start and from up to t words away are compared with the item by dynamic programming. The closest
+   one, and of these the first and then the shortest, is reported.
 
 Defined cases. Null and empty texts leak nothing; items without words are ignored; items of equal
 id and text count once, of equal id and other text as items of their own. A document with a repeated
@@ -82,41 +84,54 @@ def keys(rows: np.ndarray, repeats: int) -> np.ndarray:
 
 
 def repeats_for(n: int, recall: float, most: int = 64) -> int:
-    """Walks needed for the recall on strings of n symbols with n // TOLERANCE random edits (simulated)."""
+    """Walks needed for the recall on strings of n symbols with n // TOLERANCE random edits of the worst kind (simulated)."""
     edits, rng = n // TOLERANCE, np.random.default_rng(n)
     if not edits:
         return 1
-    a = rng.integers(1, 1 << 62, (64, n)).astype(np.uint64)
-    b = []
-    for row in a.tolist():
-        row = list(row)
-        for _ in range(edits):
-            p, kind = int(rng.integers(len(row))), int(rng.integers(4))
-            fresh = int(rng.integers(1, 1 << 62))
-            if kind == 0:
-                row.insert(p, fresh)
-            elif kind == 1 and len(row) > 1:
-                del row[p]
-            else:
-                row[p] = fresh
-        row += [int(x) for x in rng.integers(1, 1 << 62, max(0, n - len(row)))]
-        b.append(row[:n])
-    hit = (keys(a, 2) == keys(np.array(b, np.uint64), 2)).reshape(64, 2, SAMPLES).any(axis=2).mean()
-    hit = min(max(hit, 1 / 128), 1 - 1e-9)
+    worst = 1.0
+    # Insertions, deletions, substitutions only; and all of them.
+    for kinds in ((0,), (1,), (2,), (0, 1, 2, 2)):
+        a = rng.integers(1, 1 << 62, (64, n)).astype(np.uint64)
+        b = []
+        for row in a.tolist():
+            row = list(row)
+            for _ in range(edits):
+                p, kind = int(rng.integers(len(row))), kinds[int(rng.integers(len(kinds)))]
+                fresh = int(rng.integers(1, 1 << 62))
+                if kind == 0:
+                    row.insert(p, fresh)
+                elif kind == 1 and len(row) > 1:
+                    del row[p]
+                else:
+                    row[p] = fresh
+            row += [int(x) for x in rng.integers(1, 1 << 62, max(0, n - len(row)))]
+            b.append(row[:n])
+        worst = min(worst, (keys(a, 2) == keys(np.array(b, np.uint64), 2)).reshape(64, 2, SAMPLES).any(axis=2).mean())
+    hit = min(max(worst, 1 / 128), 1 - 1e-9)
     return min(most, max(1, ceil(log(1 - recall) / log(1 - hit))))
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distance of each row of a to the same row of b."""
-    m, n = a.shape
-    ramp = np.arange(n + 1)
-    row = np.broadcast_to(ramp, (m, n + 1)).copy()
-    for i in range(n):
+def prefix_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of each row of a to the prefixes of 0, 1, ... symbols of the same row of b."""
+    ramp = np.arange(b.shape[1] + 1)
+    row = np.broadcast_to(ramp, (len(b), len(ramp))).copy()
+    for i in range(a.shape[1]):
         new = np.empty_like(row)
         new[:, 0] = i + 1
         new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i : i + 1] != b))
         row = np.minimum.accumulate(new - ramp, axis=1) + ramp
-    return row[:, -1]
+    return row
+
+
+def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distance of each row of a to the same row of b."""
+    return prefix_distances(a, b)[:, -1]
+
+
+def spans(h: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
+    """Rows of the n symbols from each start, padded from stop on."""
+    at = start[:, None] + np.arange(n)
+    return np.where(at < stop[:, None], h[np.minimum(at, len(h) - 1)], END)
 
 
 class Index:
@@ -181,12 +196,14 @@ class Index:
             inside = np.zeros(size, bool)
             inside[shared[q][there]] = True
             total = np.concatenate(([0], np.cumsum(inside)))
-            at = where[where + n <= to]
-            at = at[total[at + n - q + 1] - total[at] >= self.need[n]]
+            at = where[where + n - n // TOLERANCE <= to]
+            at = at[total[np.minimum(at + n, stop[at]) - q + 1] - total[at] >= self.need[n]]
             for k in range(0, len(at), 8192):
                 some = at[k : k + 8192]
                 place = some[:, None] + np.arange(n - q + 1)
-                seen = np.where(inside[place], each[q][place], np.uint64(0))
+                within = place + q <= stop[some][:, None]
+                place = np.minimum(place, size - 1)
+                seen = np.where(within & inside[place], each[q][place], np.uint64(0))
                 seen.sort(axis=1)
                 different = (seen[:, 0] != 0).astype(np.int64) + ((seen[:, 1:] != seen[:, :-1]) & (seen[:, 1:] != 0)).sum(axis=1)
                 some = some[different >= self.need[n]]
@@ -202,8 +219,8 @@ class Index:
         return out
 
     def _windows(self, h, bounds, n, ids, items, start, row, out) -> None:
-        """Appends the leaks of items of n words in the windows from start."""
-        flat = keys(h[start[:, None] + np.arange(n)], self.repeats[n])
+        """Appends the leaks of items of n words in and around the windows from start."""
+        flat = keys(spans(h, start, bounds[row + 1], n), self.repeats[n])
         known, item = self.keys[n]
         lo, hi = np.searchsorted(known, flat.ravel(), "left"), np.searchsorted(known, flat.ravel(), "right")
         many = hi - lo
@@ -214,13 +231,18 @@ class Index:
         t = n // TOLERANCE
         near = (start[pairs[0]][:, None] + np.arange(-t, t + 1)).ravel()
         which, doc = np.repeat(pairs[1], 2 * t + 1), np.repeat(row[pairs[0]], 2 * t + 1)
-        inside = (near >= bounds[doc]) & (near + n <= bounds[doc + 1])
+        inside = (near >= bounds[doc]) & (near + n - t <= bounds[doc + 1])
         tries = np.unique(np.stack([doc[inside], which[inside], near[inside]]), axis=1)
         for at in range(0, tries.shape[1], 16384):
             doc, which, near = tries[:, at : at + 16384]
-            far = edit_distances(h[near[:, None] + np.arange(n)], items[which])
+            stop = bounds[doc + 1]
+            far = prefix_distances(items[which], spans(h, near, stop, n + t))
+            far[np.arange(n + t + 1) > (stop - near)[:, None]] = n + t
+            far = far[:, n - t :]
+            size = far.argmin(axis=1)
+            far = far[np.arange(len(far)), size]
             for k in np.flatnonzero(far <= t):
-                out[doc[k]].append({"item_id": int(ids[which[k]]), "word_start": int(near[k] - bounds[doc[k]]), "n_words": n, "distance": int(far[k])})
+                out[doc[k]].append({"item_id": int(ids[which[k]]), "word_start": int(near[k] - bounds[doc[k]]), "n_words": int(size[k]) + n - t, "distance": int(far[k])})
 
 
 def _leak_udf(index: Broadcast):

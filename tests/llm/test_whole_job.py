@@ -2,7 +2,7 @@
 
 import random
 
-from cairn.llm import op07_lines
+from cairn.llm import op03_decontaminate, op07_lines
 
 SHAPE = "doc_id long, text string"
 rng = random.Random(11)
@@ -47,3 +47,47 @@ def test_equal_lines_within_a_range_that_differs():
     cut = a.index(b"x") - 1
     assert op07_lines.alike(a, a) == [(0, len(a))]
     assert op07_lines.alike(a, b) == [(0, cut), (cut + 20, len(a))]
+
+
+def closest(item, text):
+    """Least edit distance of the item to any span of the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item):
+        new = [i + 1]
+        for j, y in enumerate(text):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_leaks_with_insertions_and_deletions_against_brute_force(spark):
+    items = [(i, words((8, 15, 20, 38, 59)[i % 5])) for i in range(15)]
+    rows = []
+    for i, t in items:
+        n = len(t.split())
+        for k in range(n // op03_decontaminate.TOLERANCE + 2):
+            for insert in (True, False):
+                w = t.split()
+                for _ in range(k):
+                    at = rng.randrange(1, len(w))
+                    w[at : at + (not insert)] = [words(1)] if insert else []
+                edges = [(words(30), words(30)), ("", words(30)), (words(30), ""), ("", "")][len(rows) % 4]
+                rows.append((len(rows), f"{edges[0]} {' '.join(w)} {edges[1]}"))
+    texts = {i: t.split() for i, t in rows}
+    true = {(d, i): closest(t.split(), texts[d]) for d in texts for i, t in items}
+    true = {k: x for k, x in true.items() if x <= len(dict(items)[k[1]].split()) // op03_decontaminate.TOLERANCE}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = op03_decontaminate.contaminations(spark.createDataFrame(rows, SHAPE), bench).collect()
+    for r in found:
+        span = texts[r["doc_id"]][r["word_start"] : r["word_start"] + r["n_words"]]
+        assert closest(span, dict(items)[r["item_id"]].split()) <= r["distance"] and closest(dict(items)[r["item_id"]].split(), span) == r["distance"]
+    assert {(r["doc_id"], r["item_id"]) for r in found} <= set(true)
+    print("found", len(found), "of", len(true))
+    assert len(found) >= 0.97 * len(true)
+
+
+def test_an_item_less_one_word_leaks_alone(spark):
+    items = [(i, words(12)) for i in range(10)]
+    rows = [(i, t.split(" ", 1)[1] if i % 2 else t.rsplit(" ", 1)[0]) for i, t in items]
+    found = op03_decontaminate.contaminations(spark.createDataFrame(rows, SHAPE), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_words"], r["distance"]) for r in found) == [(i, i, 11, 1) for i in range(10)]
