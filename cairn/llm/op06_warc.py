@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .runtime import shared_dir, table
 
-STEP, HEAD = 1 << 16, 1 << 16
+STEP = 1 << 16
 RECORD = "file string, offset long, length long, record_type string, target_uri string, record_id string, page_id long, content_length long, payload binary, block_sha1 string, payload_sha1 string, status string"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -102,7 +102,7 @@ def members(stream) -> Iterator[tuple[int, int, bytes, str]]:
 def parse(raw: bytes, error: str) -> dict:
     """Fields of one inflated record, with its status."""
     out: dict = dict.fromkeys(("record_type", "target_uri", "record_id", "page_id", "content_length", "payload", "block_sha1", "payload_sha1"))
-    end = raw.find(b"\r\n\r\n", 0, HEAD)
+    end = raw.find(b"\r\n\r\n")
     if end < 0 or not raw.startswith(b"WARC/"):
         return out | {"status": error or "bad header"}
     fields: dict[str, str] = {}

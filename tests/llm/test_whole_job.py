@@ -1,8 +1,9 @@
 """Parts of the job that an earlier state left out, with the production parameters."""
 
 import random
+import zlib
 
-from cairn.llm import op03_decontaminate, op07_lines
+from cairn.llm import op03_decontaminate, op06_warc, op07_lines
 
 SHAPE = "doc_id long, text string"
 rng = random.Random(11)
@@ -91,3 +92,9 @@ def test_an_item_less_one_word_leaks_alone(spark):
     rows = [(i, t.split(" ", 1)[1] if i % 2 else t.rsplit(" ", 1)[0]) for i, t in items]
     found = op03_decontaminate.contaminations(spark.createDataFrame(rows, SHAPE), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"], r["n_words"], r["distance"]) for r in found) == [(i, i, 11, 1) for i in range(10)]
+
+
+def test_a_warc_record_with_a_very_long_url():
+    url = "data:text/html," + "a" * 200_000
+    row = op06_warc.parse(zlib.decompress(op06_warc.record(url, b"<p>x", 5, "t"), 31), "")
+    assert (row["status"], row["page_id"], row["target_uri"], row["payload"]) == ("ok", 5, url, b"<p>x")
