@@ -3,7 +3,7 @@
 import random
 import zlib
 
-from cairn.llm import op03_decontaminate, op06_warc, op07_lines
+from cairn.llm import op03_decontaminate, op06_warc, op07_lines, op10_toxicity
 
 SHAPE = "doc_id long, text string"
 rng = random.Random(11)
@@ -98,3 +98,10 @@ def test_a_warc_record_with_a_very_long_url():
     url = "data:text/html," + "a" * 200_000
     row = op06_warc.parse(zlib.decompress(op06_warc.record(url, b"<p>x", 5, "t"), 31), "")
     assert (row["status"], row["page_id"], row["target_uri"], row["payload"]) == ("ok", 5, url, b"<p>x")
+
+
+def test_the_toxicity_sample_holds_1500_documents(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(1600)], SHAPE)
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(1600)], "doc_id long, quality int, toxic int")
+    texts, toxic = op10_toxicity.sample(docs, labels, op10_toxicity.SAMPLE)
+    assert len(texts) == toxic.sum() == 1500
