@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from cairn.llm import crf, op01_pii, op02_packing, op03_decontaminate, op04_quality, op05_url_rules, op06_warc, op07_lines, op08_minhash, op09_tokens, op10_toxicity
+from cairn.llm import crf, op01_pii, op02_packing, op03_decontaminate, op04_quality, op06_warc, op07_lines, op08_minhash, op09_tokens, op10_toxicity
 from cairn.llm.components import components
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, `id` long, `__text` string"
@@ -201,15 +201,6 @@ def test_warc_statuses(spark, tmp_path):
     assert next(r for r in rows if r["page_id"] == 3)["status"] == "ok"
 
 
-def test_url_rules_find_the_planted_combination(spark):
-    rows = [(i, f"http://h{i % 7}.com/{'spam' if i % 5 == 0 else 'news'}/x?{'ad' if i % 2 == 0 else 'id'}=1") for i in range(400)] + [(900, None), (901, "no url"), (5, "http://h.com/")]
-    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, tokens string")
-    known = spark.createDataFrame([(i, int(not (i % 5 == 0 and i % 2 == 0)), 0) for i in range(400)], "doc_id long, quality int, toxic int")
-    out = {(r["page_id"], r["url"]): r["dropped"] for r in op05_url_rules.url_decisions(pages, known, confidence=0.9).collect()}
-    assert len(out) == len(rows) and {k[0] for k, v in out.items() if v} == {i for i in range(0, 400, 10)}
-    assert op05_url_rules.url_decisions(pages, known.limit(0)).filter("dropped").count() == 0
-
-
 def test_crf_marginals_against_enumeration():
     from itertools import product
 
