@@ -2,8 +2,10 @@
 
 A file is a run of gzip members, one a record. The reader goes through it once: bytes are fetched
 in steps of STEP, inflated as they come, and framed by the header's Content-Length; a member's end
-must be its record's end. The SHA-1 of the block, and of the payload after an HTTP header, is taken
-on the way and compared with the record's digests. Memory is bounded by STEP and the longest record.
+must be a record's end. Members of several records, against the recommendation, are read as well.
+The SHA-1 of the block, and of the payload after an HTTP header, is compared with the record's
+digests (SHA-1, SHA-256, SHA-512 and MD5, in base32 or base16). Memory is bounded by STEP, inflated,
+and the longest record, which is one value of a row in any case.
 
 Each file is one task (files of a crawl hold about 1 GB); files are opened by URI, so any store that
 pyarrow.fs knows will do. The writer names each file by its partition and renames it into place, so
@@ -11,8 +13,12 @@ that a task that runs again writes the same file.
 
 Defined cases. A damaged member, a wrong length, and a digest that differs give the record with
 `status` saying so ("truncated", "bad gzip", "bad length", "bad digest", "bad header"); reading goes
-on with the next member where the format allows it, which is where the gzip framing is intact. An
-empty file has no records. Pages of null url are written with the URI "urn:none"; null html is an
+on with the next member where the format allows it, which is where the gzip framing is intact. What
+follows a record of bad length or header within its member belongs to that record. Numbers in
+headers are ASCII digits within 64 bits; others count as absent. Digests of other kinds aren't
+checked. An empty file or member has no records. `offset` is that of the record's member, `place`
+the record's number in it; `length` is the member's compressed length, known at its last record only
+(null before). Pages of null url are written with the URI "urn:none"; null html is an
 empty payload; repeated rows are records of their own; a null page_id comes back as null.
 """
 
@@ -34,7 +40,7 @@ from pyspark.sql import functions as F
 from .runtime import shared_dir, table
 
 STEP = 1 << 16
-RECORD = "file string, offset long, length long, record_type string, target_uri string, record_id string, page_id long, content_length long, payload binary, block_sha1 string, payload_sha1 string, status string"
+RECORD = "file string, offset long, place int, length long, record_type string, target_uri string, record_id string, page_id long, content_length long, payload binary, block_sha1 string, payload_sha1 string, status string"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -54,18 +60,62 @@ def record(uri: str | None, payload: bytes, page_id: int | None, place: str) ->
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def members(stream) -> Iterator[tuple[int, int, bytes, str]]:
-    """(offset, compressed length, inflated bytes, error or "") of each gzip member of a stream."""
+def whole(text: str | None, least: int = 0) -> int | None:
+    """A header's number: ASCII digits (after a minus, if it may be negative) within 64 bits; else None."""
+    if text is None or not re.fullmatch(r"-?[0-9]{1,19}", text):
+        return None
+    return n if least <= (n := int(text)) < 1 << 63 else None
+
+
+class Records:
+    """Cuts the inflated bytes of one member into records, as they come."""
+
+    def __init__(self) -> None:
+        self.held, self.sought, self.need, self.lost = bytearray(), 0, 0, False
+
+    def feed(self, data: bytes) -> Iterator[dict]:
+        """Fields of each record that data completes."""
+        self.held += data
+        while not self.lost and len(self.held) >= self.need:
+            if not self.need:
+                end = self.held.find(b"\r\n\r\n", self.sought)
+                if end < 0:
+                    self.sought = max(0, len(self.held) - 3)
+                    return
+                n = whole(fields_of(self.held[:end]).get("content-length"))
+                if n is None or not self.held.startswith(b"WARC/"):
+                    self.lost = True
+                    return
+                self.need = end + 4 + n + 4
+                continue
+            if self.held[self.need - 4 : self.need] != b"\r\n\r\n":
+                self.lost = True
+                return
+            yield parse(bytes(self.held[: self.need]), "")
+            del self.held[: self.need]
+            self.sought = self.need = 0
+
+    def rest(self, error: str) -> list[dict]:
+        """The record that the member's end, or the error, cut off."""
+        return [parse(bytes(self.held), error)] if self.held or error else []
+
+
+def members(stream) -> Iterator[dict]:
+    """Records of a stream of gzip members, with offset, place and length."""
     held, at, ended = b"", 0, False
     while True:
         if not held:
             held = stream.read(STEP)
             if not held:
                 return
-        unpacker, out, used, error = zlib.decompressobj(31), [], 0, ""
+        unpacker, records, used, error, last, place = zlib.decompressobj(31), Records(), 0, "", None, 0
         while True:
             try:
-                out.append(unpacker.decompress(held))
+                for row in records.feed(unpacker.decompress(held)):
+                    if last is not None:
+                        yield last | {"offset": at, "place": place, "length": None}
+                        place += 1
+                    last = row
             except zlib.error:
                 error = "bad gzip"
                 break
@@ -93,28 +143,48 @@ def members(stream) -> Iterator[tuple[int, int, bytes, str]]:
                 keep = rest[-2:]
                 skipped, rest, first = skipped + len(rest) - len(keep), keep + more, False
             used += skipped
-        yield at, used, b"".join(out), error
+        for row in [*([] if last is None else [last]), *records.rest(error)]:
+            yield row | {"offset": at, "place": place, "length": used}
+            place += 1
         at += used
         if ended or error == "truncated":
             return
 
 
+def fields_of(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; the first of a name counts."""
+    fields: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        key, colon, value = line.partition(":")
+        if colon:
+            fields.setdefault(key.strip().lower(), value.strip())
+    return fields
+
+
+_ALGORITHMS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha512": hashlib.sha512, "md5": hashlib.md5}
+
+
+def differs(want: str | None, data: bytes) -> bool:
+    """Whether a digest field (algorithm:value, in base32 or base16) isn't that of data; unknown ones never differ."""
+    name, _, value = (want or "").partition(":")
+    make = _ALGORITHMS.get(name.strip().lower().replace("-", ""))
+    if make is None:
+        return False
+    have, value = make(data).digest(), value.strip()
+    return value.upper().rstrip("=") != base64.b32encode(have).decode().rstrip("=") and value.lower() != have.hex()
+
+
 def parse(raw: bytes, error: str) -> dict:
     """Fields of one inflated record, with its status."""
     out: dict = dict.fromkeys(("record_type", "target_uri", "record_id", "page_id", "content_length", "payload", "block_sha1", "payload_sha1"))
     end = raw.find(b"\r\n\r\n")
     if end < 0 or not raw.startswith(b"WARC/"):
         return out | {"status": error or "bad header"}
-    fields: dict[str, str] = {}
-    for line in raw[:end].decode("utf-8", "replace").split("\r\n")[1:]:
-        key, colon, value = line.partition(":")
-        if colon:
-            fields.setdefault(key.strip().lower(), value.strip())
-    size = fields.get("content-length", "")
-    out |= {"record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"), "record_id": fields.get("warc-record-id"), "page_id": int(fields["x-page-id"]) if fields.get("x-page-id", "").lstrip("-").isdigit() else None}
-    if not size.isdigit():
+    fields = fields_of(raw[:end])
+    n = whole(fields.get("content-length"))
+    out |= {"record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"), "record_id": fields.get("warc-record-id"), "page_id": whole(fields.get("x-page-id"), -(1 << 63))}
+    if n is None:
         return out | {"status": error or "bad header"}
-    n = int(size)
     block = raw[end + 4 : end + 4 + n]
     head = block.find(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else -4
     payload = block[head + 4 :] if head != -1 else block
@@ -123,10 +193,8 @@ def parse(raw: bytes, error: str) -> dict:
         return out | {"status": error}
     if len(block) != n or raw[end + 4 + n :] != b"\r\n\r\n":
         return out | {"status": "bad length"}
-    for key, have in (("warc-block-digest", out["block_sha1"]), ("warc-payload-digest", out["payload_sha1"])):
-        want = fields.get(key, "")
-        if want.lower().startswith("sha1:") and want[5:] != have:
-            return out | {"status": "bad digest"}
+    if differs(fields.get("warc-block-digest"), block) or differs(fields.get("warc-payload-digest"), payload):
+        return out | {"status": "bad digest"}
     return out | {"status": "ok"}
 
 
@@ -134,8 +202,8 @@ def read_file(uri: str) -> Iterator[dict]:
     """Records of one WARC file, in order."""
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_input_stream(path, compression=None, buffer_size=STEP) as stream:
-        for offset, length, raw, error in members(stream):
-            yield {"file": path.rsplit("/", 1)[-1], "offset": offset, "length": length} | parse(raw, error)
+        for row in members(stream):
+            yield {"file": path.rsplit("/", 1)[-1]} | row
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -143,7 +211,7 @@ def read_warc(files: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
-        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in RECORD.split(", ")])
 
         def made(rows: list[dict]) -> pa.RecordBatch:
