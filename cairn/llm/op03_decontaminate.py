@@ -18,13 +18,17 @@ counted in words; such a span has n - t to n + t words.
    one, and of these the first and then the shortest, is reported.
 
 Defined cases. Null and empty texts leak nothing; items without words are ignored; items of equal
-id and text count once, of equal id and other text as items of their own. A document with a repeated
-row is reported a row each. Other columns pass through the filter. Items are sent to the executors
-in blocks of BLOCK, so that what is broadcast doesn't grow with the benchmark.
+id and text count once, of equal id and other text as items of their own; a null item_id is given
+as -1. A document with a repeated row is reported a row each. Other columns pass through the filter,
+whatever their names. Empty tables give empty results or leave all documents. Items are sent to the
+executors in blocks of BLOCK words in all (one item at least), one block at a time: the documents
+are read once a block, and what is broadcast doesn't grow with the benchmark. Long items are walked
+and compared in steps of STEP symbols.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, log
 
 import numpy as np
@@ -35,9 +39,9 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .op08_minhash import folded_words
-from .runtime import table
+from .runtime import packed, stable, table, unpacked
 
-TOLERANCE, STRETCH, PICKS, SAMPLES, RECALL, BLOCK = 5, 3, 3, 8, 0.98, 20_000
+TOLERANCE, STRETCH, PICKS, SAMPLES, RECALL, BLOCK, STEP = 5, 3, 3, 8, 0.98, 400_000, 1 << 21
 LEAK = "array<struct<item_id: long, word_start: int, n_words: int, distance: int>>"
 END = np.uint64(0x9216D5D98979FB1B)
 
@@ -83,32 +87,38 @@ def keys(rows: np.ndarray, repeats: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def repeats_for(n: int, recall: float, most: int = 64) -> int:
-    """Walks needed for the recall on strings of n symbols with n // TOLERANCE random edits of the worst kind (simulated)."""
+def repeats_for(n: int, recall: float) -> int:
+    """Walks needed for the recall on strings of n symbols with n // TOLERANCE random edits of the worst kind (simulated).
+
+    Trials go on until each kind has hit a walk 16 times, so that rare hits are estimated as well.
+    """
     edits, rng = n // TOLERANCE, np.random.default_rng(n)
     if not edits:
         return 1
-    worst = 1.0
+    worst, trials = 1.0, max(8, min(64, STEP // (STRETCH * n)))
     # Insertions, deletions, substitutions only; and all of them.
     for kinds in ((0,), (1,), (2,), (0, 1, 2, 2)):
-        a = rng.integers(1, 1 << 62, (64, n)).astype(np.uint64)
-        b = []
-        for row in a.tolist():
-            row = list(row)
-            for _ in range(edits):
-                p, kind = int(rng.integers(len(row))), kinds[int(rng.integers(len(kinds)))]
-                fresh = int(rng.integers(1, 1 << 62))
-                if kind == 0:
-                    row.insert(p, fresh)
-                elif kind == 1 and len(row) > 1:
-                    del row[p]
-                else:
-                    row[p] = fresh
-            row += [int(x) for x in rng.integers(1, 1 << 62, max(0, n - len(row)))]
-            b.append(row[:n])
-        worst = min(worst, (keys(a, 2) == keys(np.array(b, np.uint64), 2)).reshape(64, 2, SAMPLES).any(axis=2).mean())
-    hit = min(max(worst, 1 / 128), 1 - 1e-9)
-    return min(most, max(1, ceil(log(1 - recall) / log(1 - hit))))
+        hits = tried = 0
+        while hits < 16 and tried < 1 << 13:
+            a = rng.integers(1, 1 << 62, (trials, n)).astype(np.uint64)
+            b = []
+            for row in a.tolist():
+                row = list(row)
+                for _ in range(edits):
+                    p, kind = int(rng.integers(len(row))), kinds[int(rng.integers(len(kinds)))]
+                    fresh = int(rng.integers(1, 1 << 62))
+                    if kind == 0:
+                        row.insert(p, fresh)
+                    elif kind == 1 and len(row) > 1:
+                        del row[p]
+                    else:
+                        row[p] = fresh
+                row += [int(x) for x in rng.integers(1, 1 << 62, max(0, n - len(row)))]
+                b.append(row[:n])
+            hits += int((keys(a, 2) == keys(np.array(b, np.uint64), 2)).reshape(trials, 2, SAMPLES).any(axis=2).sum())
+            tried += 2 * trials
+        worst = min(worst, max(hits, 1) / tried)
+    return max(1, ceil(log(1 - recall) / log(1 - min(worst, 1 - 1e-9))))
 
 
 def prefix_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -198,8 +208,9 @@ class Index:
             total = np.concatenate(([0], np.cumsum(inside)))
             at = where[where + n - n // TOLERANCE <= to]
             at = at[total[np.minimum(at + n, stop[at]) - q + 1] - total[at] >= self.need[n]]
-            for k in range(0, len(at), 8192):
-                some = at[k : k + 8192]
+            step = max(1, min(8192, STEP // n))
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
                 place = some[:, None] + np.arange(n - q + 1)
                 within = place + q <= stop[some][:, None]
                 place = np.minimum(place, size - 1)
@@ -220,6 +231,11 @@ class Index:
 
     def _windows(self, h, bounds, n, ids, items, start, row, out) -> None:
         """Appends the leaks of items of n words in and around the windows from start."""
+        step = max(1, STEP // (STRETCH * n))
+        if len(start) > step:
+            for k in range(0, len(start), step):
+                self._windows(h, bounds, n, ids, items, start[k : k + step], row[k : k + step], out)
+            return
         flat = keys(spans(h, start, bounds[row + 1], n), self.repeats[n])
         known, item = self.keys[n]
         lo, hi = np.searchsorted(known, flat.ravel(), "left"), np.searchsorted(known, flat.ravel(), "right")
@@ -233,8 +249,9 @@ class Index:
         which, doc = np.repeat(pairs[1], 2 * t + 1), np.repeat(row[pairs[0]], 2 * t + 1)
         inside = (near >= bounds[doc]) & (near + n - t <= bounds[doc + 1])
         tries = np.unique(np.stack([doc[inside], which[inside], near[inside]]), axis=1)
-        for at in range(0, tries.shape[1], 16384):
-            doc, which, near = tries[:, at : at + 16384]
+        step = max(1, min(16384, STEP // n))
+        for at in range(0, tries.shape[1], step):
+            doc, which, near = tries[:, at : at + step]
             stop = bounds[doc + 1]
             far = prefix_distances(items[which], spans(h, near, stop, n + t))
             far[np.arange(n + t + 1) > (stop - near)[:, None]] = n + t
@@ -257,31 +274,43 @@ def _leak_udf(index: Broadcast):
     return leak.asNondeterministic()
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """docs with `__leaks`, the items that leak into each document."""
-    spark = docs.sparkSession
-    blocks, held = [], []
+def blocks(benchmark: DataFrame, most: int) -> Iterator[list]:
+    """The items, in lists of about `most` words in all."""
+    held, size = [], 0
     for r in benchmark.filter("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            blocks.append(held)
-            held = []
-    parts = []
-    for part in [*blocks, held]:
-        index = Index([-1 if r[0] is None else r[0] for r in part], [r[1] for r in part], recall)
-        parts.append(_leak_udf(spark.sparkContext.broadcast(index))(F.col("text").cast("string")))
-    return docs.withColumn("__leaks", F.concat(*parts) if len(parts) > 1 else parts[0])
-
-
-def contaminations(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """doc_id, item_id, word_start, n_words, distance of every leak. A null item_id is given as -1."""
-    found = with_leaks(docs.select("doc_id", "text"), benchmark, **how)
-    return found.filter(F.size("__leaks") > 0).select("doc_id", F.explode("__leaks").alias("x")).select("doc_id", "x.*")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+        held.append((-1 if r[0] is None else r[0], r[1]))
+        size += r[1].count(" ") + 1
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def with_leaks(docs: DataFrame, part: list, recall: float = RECALL) -> DataFrame:
+    """docs as struct `__row`, and `leaks`, what of one block of items leaks into each."""
+    index = docs.sparkSession.sparkContext.broadcast(Index([i for i, _ in part], [t for _, t in part], recall))
+    return packed(docs, leaks=_leak_udf(index)(docs["text"].cast("string")))
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, item_id, word_start, n_words, distance of every leak."""
+    found, small = None, docs.select("doc_id", "text")
+    for part in blocks(benchmark, block):
+        rows = with_leaks(small, part, recall).filter(F.size("leaks") > 0).select("__row.doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
+        # What one block found is stored before the next one is indexed.
+        found = rows if found is None else stable(found).unionByName(rows)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, word_start int, n_words int, distance int")
+    return found
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """The documents into which nothing leaks."""
-    return with_leaks(docs, benchmark, **how).filter(F.size("__leaks") == 0).drop("__leaks")
+    kept, names = docs, docs.columns
+    for k, part in enumerate(blocks(benchmark, block)):
+        kept = unpacked(with_leaks(stable(kept) if k else kept, part, recall).filter(F.size("leaks") == 0), names)
+    return kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset in local mode."""
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-"))
     return jsc.getCheckpointDir().get()
 
@@ -29,6 +31,16 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, **more) -> DataFrame:
+    """df's columns as the struct `__row`, beside more columns: no name of df can clash with one of ours."""
+    return df.select(F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns]).alias("__row"), *[x.alias(k) for k, x in more.items()])
+
+
+def unpacked(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that packed() put away."""
+    return rows.select(*[F.col(f"__row.`{c}`").alias(c) for c in names])
+
+
 def semi_join_ids(df: DataFrame, ids: DataFrame, on: str, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Rows of df whose id is in ids; ids are broadcast up to broadcast_rows (about 64 MB hashed), else shuffled."""
     n = ids.limit(broadcast_rows + 1).count()
