@@ -9,7 +9,8 @@ micro-nats and scores are whole sums, so a decision never depends on the order o
 Defined cases. Null or blank text has no n-grams: score 0, mean null, rejected. A document equal
 to another one gets the same decision; a repeated row counts as often as it occurs, in the corpus
 and (if labelled) in the target; repeated labels count once. A label row with a null id or quality
-is ignored. Without any trusted document the target is uniform. Ties with the threshold are kept.
+is ignored. Without any trusted document the target is uniform. Ties with the threshold are kept. Empty
+tables give empty results.
 Other columns of documents, whatever their names, pass through the filter untouched.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .runtime import semi_join_ids, table
+from .runtime import packed, semi_join_ids, table, unpacked
 
 BITS = 16
 #: Micro-nats an n-gram, at least, of a document that is kept.
@@ -94,23 +95,23 @@ def scorer(w: np.ndarray, bits: int = BITS):
 
 
 def scored(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
-    """docs with a column `__q`, struct(score_micro, n_grams)."""
-    return docs.withColumn("__q", scorer(fit(docs, labels, bits), bits)(F.col("text").cast("string")))
+    """docs as struct `__row`, and `q`, struct(score_micro, n_grams)."""
+    return packed(docs, q=scorer(fit(docs, labels, bits), bits)(docs["text"].cast("string")))
 
 
 def passes(threshold: int = THRESHOLD):
-    return (F.col("__q.n_grams") > 0) & (F.col("__q.score_micro") >= threshold * F.col("__q.n_grams"))
+    return (F.col("q.n_grams") > 0) & (F.col("q.score_micro") >= threshold * F.col("q.n_grams"))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, bits: int = BITS) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return scored(docs, labels, bits).filter(passes(threshold)).drop("__q")
+    return unpacked(scored(docs, labels, bits).filter(passes(threshold)), docs.columns)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, bits: int = BITS) -> DataFrame:
     """doc_id, score_micro, n_grams and llr (nats an n-gram) of every document that passes."""
     q = scored(docs.select("doc_id", "text"), labels, bits).filter(passes(threshold))
-    return q.select("doc_id", "__q.score_micro", "__q.n_grams", (F.col("__q.score_micro") / F.col("__q.n_grams") / F.lit(1e6)).alias("llr"))
+    return q.select("__row.doc_id", "q.score_micro", "q.n_grams", (F.col("q.score_micro") / F.col("q.n_grams") / F.lit(1e6)).alias("llr"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
