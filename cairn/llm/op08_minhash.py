@@ -28,12 +28,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import components
-from .runtime import stable, table
+from .runtime import packed, stable, table, unpacked
 
 THRESHOLD, BANDS, ROWS, STEP, MISS, SPLIT = 0.6, 24, 4, 16, 0.005, 2048
 
@@ -298,8 +298,9 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     own = stable(own)
     if signed.groupBy("id").count().filter("count > 1").limit(1).count():
         return _drop_by_row(docs, own)
-    gone = own.filter("id <> group_id").select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = own.filter("id <> group_id").select(F.col("id").alias("gone"))
+    rows = packed(docs, id=docs["doc_id"].cast("long"))
+    return unpacked(rows.join(gone, rows["id"] == gone["gone"], "left_anti"), docs.columns)
 
 
 def _drop_by_row(docs: DataFrame, own: DataFrame) -> DataFrame:
@@ -310,13 +311,11 @@ def _drop_by_row(docs: DataFrame, own: DataFrame) -> DataFrame:
         h = sequence_hashes(folded_words(column))
         return pa.StructArray.from_arrays([pa.array(x.view(np.int64)) for x in h], ["h1", "h2"])
 
-    row = F.struct(*[docs[c] for c in docs.columns])
-    marked = docs.select(row.alias("r"), F.col("doc_id").cast("long").alias("id"), sequence(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("s"))
-    marked = marked.select("r", "id", F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"))
+    marked = packed(docs, id=docs["doc_id"].cast("long"), s=sequence(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    marked = marked.select("__row", "id", F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"))
     joined = marked.join(own.distinct(), ["id", "h1", "h2"], "left")
-    first = F.row_number().over(Window.partitionBy("id", "h1", "h2").orderBy(F.lit(0)))
-    kept = joined.filter("id = group_id").withColumn("k", first).filter("k = 1").select("r")
-    return kept.unionByName(joined.filter("group_id is null").select("r")).select("r.*")
+    kept = joined.filter("id = group_id").groupBy("id", "h1", "h2").agg(F.any_value("__row").alias("__row")).select("__row")
+    return unpacked(kept.unionByName(joined.filter("group_id is null").select("__row")), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
