@@ -4,8 +4,9 @@ A text is its lines, split at line feeds. For each of SALTS chunkings, a boundar
 if the rolling hash of the last WINDOW (1 for even salts, 2 for odd ones) line hashes, mixed with
 the salt, is 0 modulo DIVISOR; a line of LONG words and more always stands alone. Boundaries depend
 on nothing but the lines around them, so text that is inserted elsewhere doesn't shift them.
-A chunk takes part if it has two lines and more that aren't blank, or one of LONG words; and at
-least LEAST words in all. Two places must cut a passage alike for such a chunk to be found, so the
+A chunk takes part if it has two lines and more that aren't blank, or is a single line of LONG
+words and more (a paragraph of that length repeats as passages of lines do); and at least LEAST
+words in all. Two places must cut a passage alike for such a chunk to be found, so the
 shortest chunk from each line on and the shortest one up to each line take part too: whatever lines
 two places share that would make a chunk, all of them lie in such runs, wherever boundaries fall.
 
@@ -14,11 +15,16 @@ goes everywhere else. Places are the same if their bytes are, blank lines betwee
 anything goes, the bytes at both places are compared; where a range of several chunks differs, the
 runs of equal lines in it that would make a chunk still go.
 
-Defined cases. Null and empty texts stay as they are. Rows of null doc_id come after all others in
-order. Rows that repeat a doc_id and text are the same place: each keeps what that place keeps.
+A repeated chunk can be that of a third of all documents: hashes are counted with map-side
+aggregates, only chunks of repeated hashes are looked at again, and the first place of each comes
+from another such aggregate, so that no task holds all places of a chunk.
+
+Defined cases. Null and empty texts stay as they are, and so do rows of null doc_id, which have no
+place in the order and are no model either. Rows that repeat a doc_id and text are the same place: each keeps what that place keeps.
 A chunk that repeats within a document stays at its first place. Every line that goes stands also at
 an earlier (doc_id, position), so the first place of a line is never lost, whatever chunkings say.
-A text all of whose lines go becomes "", and its row stays.
+A text all of whose lines go becomes "", and its row stays, unless emptied rows are to be dropped.
+Other columns pass, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -31,9 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .runtime import stable, table
-
-NO_ID = (1 << 63) - 1
+from .runtime import join_checked, packed, stable, table
 
 SALTS, DIVISOR, LONG, LEAST = 6, 2, 40, 8
 
@@ -129,15 +133,17 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    """A null id counts as the largest long."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("__text"))
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(id, s, e, m_id, m_s, m_e): byte ranges that may go, each with the place of the same lines that stays."""
-    found = chunks(docs).withColumn("m", F.min(F.struct("id", "s", "e")).over(Window.partitionBy("h")))
-    pairs = found.filter((F.col("id") != F.col("m.id")) | (F.col("s") != F.col("m.s")))
-    ranges = pairs.select("id", F.col("m.id").alias("m_id"), (F.col("s") - F.col("m.s")).alias("shift"), "s", "e")
+    found = chunks(docs)
+    often = stable(found.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"))
+    some = stable(join_checked(found, often, "h", "left_semi"))
+    pairs = join_checked(some, some.groupBy("h").agg(F.min(F.struct("id", "s", "e")).alias("m")), "h").filter((F.col("id") != F.col("m.id")) | (F.col("s") != F.col("m.s")))
+    # One document and one model a window: what it sorts is no longer than a document.
+    ranges = pairs.select("id", F.col("m.id").alias("m_id"), (F.col("s") - F.col("m.s")).alias("shift"), "s", "e").distinct()
     # Ranges that touch and lie at the same distance from their models are one.
     run = Window.partitionBy("id", "m_id", "shift").orderBy("s", "e")
     before = F.max("e").over(run.rowsBetween(Window.unboundedPreceding, -1))
@@ -219,20 +225,28 @@ def with_cuts(docs: DataFrame) -> DataFrame:
     """docs (its columns as struct `__row`) with `__cut`, struct(text, n_ranges, n_bytes); null where nothing repeats."""
     pairs = stable(removals(docs))
     # Both joins read one and the same exchange: the texts are shuffled once.
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), F.struct(*[docs[c] for c in docs.columns]).alias("__row")).repartition("__id")
+    some, kept = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    rows = packed(some, __id=some["doc_id"].cast("long")).repartition("__id")
     models = _slices(rows, pairs.select("m_id", "m_s", "m_e"))
     lists = pairs.join(models, ["m_id", "m_s", "m_e"]).groupBy("id").agg(F.collect_list(F.struct("s", "e", "model")).alias("__ranges"))
     joined = rows.join(lists, F.col("__id") == F.col("id"), "left")
-    return joined.select("__row", F.when(F.col("__ranges").isNotNull(), cutter()(F.when(F.col("__ranges").isNotNull(), F.col("__row.text").cast("string")), F.col("__ranges"))).alias("__cut"))
+    repeats = F.col("__ranges").isNotNull()
+    found = joined.select("__row", F.when(repeats, cutter()(F.when(repeats, F.col("__row.text").cast("string")), F.col("__ranges"))).alias("__cut"))
+    return found.unionByName(packed(kept, __cut=F.lit(None).cast("struct<text: string, n_ranges: int, n_bytes: long>")))
+
 
+def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """docs with repeated chunks cut from text (and n_chars, if there, counted again where cut).
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks cut from text (and n_chars, if there, counted again where cut)."""
-    names = docs.columns
+    drop_emptied: rows that lost all their text go; every line of theirs stands elsewhere.
+    """
+    names, rows = docs.columns, with_cuts(docs)
+    if drop_emptied:
+        rows = rows.filter(~((F.coalesce("__cut.n_bytes", F.lit(0)) > 0) & (F.trim("__cut.text", F.lit(" \t\r\n")) == "")))
     new = {"text": F.when(F.col("__cut").isNotNull(), F.col("__cut.text")).otherwise(F.col("__row.text"))}
     if "n_chars" in names:
         new["n_chars"] = F.when(F.col("__cut.n_bytes") > 0, F.char_length("__cut.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars"))
-    return with_cuts(docs).select(*[new[c].alias(c) if c in new else F.col(f"__row.`{c}`").alias(c) for c in names])
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"__row.`{c}`").alias(c) for c in names])
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:

@@ -41,7 +41,12 @@ def unpacked(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.select(*[F.col(f"__row.`{c}`").alias(c) for c in names])
 
 
+def join_checked(df: DataFrame, side: DataFrame, on: str, how: str = "inner", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """df joined with a side that is broadcast up to broadcast_rows (of some 50 bytes, hashed), else shuffled; adaptive execution splits hot keys of df then."""
+    small = side.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return df.join(F.broadcast(side) if small else side, on, how)
+
+
 def semi_join_ids(df: DataFrame, ids: DataFrame, on: str, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Rows of df whose id is in ids; ids are broadcast up to broadcast_rows (about 64 MB hashed), else shuffled."""
-    n = ids.limit(broadcast_rows + 1).count()
-    return df.join(F.broadcast(ids) if n <= broadcast_rows else ids, on, "left_semi")
+    return join_checked(df, ids, on, "left_semi", broadcast_rows)
