@@ -1,4 +1,11 @@
-"""Corpus cleaning: five stages over documents, each a training-data operator."""
+"""Corpus cleaning: five stages over documents, each a training-data operator.
+
+Defined cases. A document with a null or wordless text has no n-grams and is rejected by the first
+stage. Rows of null doc_id keep their lines and their near copies, and can still be rejected,
+contaminated and packed. Of repeated rows one stays after the near-duplicate stage. Extra columns of
+documents pass through all stages but the last, whatever their names. Empty tables give no windows;
+without labels the target is uniform, without benchmark items nothing is contaminated.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that stand earlier in the corpus are cut from the texts."""
-    return op07_lines.dedup_lines(docs)
+    """Chunks of lines that stand earlier in the corpus are cut from the texts; rows that lose all their text go."""
+    return op07_lines.dedup_lines(docs, drop_emptied=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +36,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of token ranges of the documents that are left."""
-    return op02_packing.pack(docs)
+    """Windows of token ranges of the documents that are left, with the token ids themselves."""
+    return op02_packing.pack(docs, tokens=True)
 
 
 STAGES = [
