@@ -12,8 +12,11 @@ similarity of their shingle sets is at least THRESHOLD, and groups are the conne
 3. The texts of each candidate component meet once; pairs that share a band and survive the same
    bounds are verified on their exact shingle sets, unless they are connected already.
    Components of verified pairs are the groups.
-Groups of more than SPLIT documents are cut into blocks, and every pair of blocks is one task, so
-that no task grows with the largest group and no pair is lost.
+No task grows with the largest group. Band groups are told apart by map-side aggregates (those of
+the same members in several bands are one), not by lists of their members. Groups of more than SPLIT
+documents are cut into random blocks of about SPLIT; each of SHUFFLES rounds connects the documents
+of every block, and groups that have become one component are done, as groups of true copies are
+after a round or two. In the rest every pair of blocks is one task, so that no pair is lost.
 
 Defined cases. Null, empty and wordless texts, and rows of null doc_id, are in no group and stay.
 Rows that repeat a doc_id and text count as copies of one document: one stays. A doc_id with
@@ -33,9 +36,9 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import components
-from .runtime import packed, stable, table, unpacked
+from .runtime import join_checked, packed, stable, table, unpacked
 
-THRESHOLD, BANDS, ROWS, STEP, MISS, SPLIT = 0.6, 24, 4, 16, 0.005, 2048
+THRESHOLD, BANDS, ROWS, STEP, MISS, SPLIT, SHUFFLES = 0.6, 24, 4, 16, 0.005, 2048, 3
 
 #: ASCII letters and digits and all bytes above ASCII make words; letters are lower-cased.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -153,15 +156,31 @@ def surviving(sigs: np.ndarray, one: np.ndarray, rules: list[tuple[int, int]]) -
     return left
 
 
-def tasks(members: DataFrame, split: int) -> DataFrame:
-    """Members (grp, id, pos, n) to (t0, t1, t2, id): every pair of blocks of a group meets in one task."""
-    own = (F.col("pos") / F.lit(split)).cast("int")
-    last = ((F.col("n") - 1) / F.lit(split)).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    members = members.filter((F.col("own") != F.col("other")) | (F.col("n") <= split))
+def blocks_of(members: DataFrame, split: int) -> DataFrame:
+    """Members (grp, id, n) to (grp, b0, b1, id): every pair of blocks of a group meets in one task."""
+    n_blocks = F.ceil(F.col("n") / F.lit(split))
+    members = members.withColumn("own", F.pmod(F.xxhash64("id"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+    members = members.filter((F.col("own") != F.col("other")) | (n_blocks == 1))
     return members.select("grp", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"), "id")
 
 
+def linked(members: DataFrame, split: int, edges_of) -> DataFrame:
+    """Edges that connect the members (grp, id, n) of each group as edges_of((grp, b0, b1, id)) finds them in tasks."""
+    members = stable(members)
+    found = stable(edges_of(blocks_of(members.filter(F.col("n") <= split), split)))
+    big = members.filter(F.col("n") > split)
+    for turn in range(SHUFFLES):
+        if big.isEmpty():
+            return found
+        block = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("n") / F.lit(split)))
+        found = stable(found.unionByName(edges_of(big.select("grp", block.alias("b0"), F.lit(0).cast("long").alias("b1"), "id"))))
+        # A document that nothing has reached is its own root.
+        at = big.join(components(found), "id", "left").select("grp", F.coalesce("root", "id").alias("root"))
+        several = at.groupBy("grp").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("grp")
+        big = stable(big.join(several, "grp", "left_semi"))
+    return found if big.isEmpty() else found.unionByName(edges_of(blocks_of(big, split)))
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
     """Batches sorted by their first `keys` columns, cut into one list of slices a key."""
     held: list[pa.RecordBatch] = []
@@ -215,11 +234,17 @@ def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def band_groups(canon: DataFrame) -> DataFrame:
+    """(grp, id, n) of the documents that share a band key; groups of equal members once."""
+    keyed = canon.select("id", F.explode("keys").alias("grp"))
+    sums = [F.sum(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 40))).alias(f"s{k}") for k in (1, 2)]
+    groups = keyed.groupBy("grp").agg(F.count("*").alias("n"), *sums).filter("n > 1")
+    groups = stable(groups.groupBy("n", "s1", "s2").agg(F.min("grp").alias("grp")).select("grp", "n"))
+    return join_checked(keyed, groups, "grp").select("grp", "id", "n")
+
+
 def candidate_edges(canon: DataFrame, rules: list[tuple[int, int]], split: int) -> DataFrame:
     """Tree edges over documents whose signatures survive, from each group of one band key."""
-    groups = canon.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
-    groups = groups.dropDuplicates(["ids"]).select(F.xxhash64("key").alias("grp"), F.posexplode("ids").alias("pos", "id"), F.size("ids").alias("n"))
-    ready = tasks(groups, split).join(canon.select("id", "sig"), "id").repartition("grp", "b0", "b1").sortWithinPartitions("grp", "b0", "b1", "id").select("grp", "b0", "b1", "id", "sig")
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -232,7 +257,11 @@ def candidate_edges(canon: DataFrame, rules: list[tuple[int, int]], split: int)
                 out = []
         yield _edge_batch(out)
 
-    return ready.mapInArrow(connect, "a long, b long")
+    def edges_of(tasks: DataFrame) -> DataFrame:
+        ready = tasks.join(canon.select("id", "sig"), "id").repartition("grp", "b0", "b1").sortWithinPartitions("grp", "b0", "b1", "id")
+        return ready.select("grp", "b0", "b1", "id", "sig").mapInArrow(connect, "a long, b long")
+
+    return linked(band_groups(canon), split, edges_of)
 
 
 def verified_edges(texts: DataFrame, rules: list[tuple[int, int]], threshold: float, bands: int, rows: int) -> DataFrame:
@@ -275,21 +304,29 @@ def members(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     canon = signed.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "sig", "keys"), "id").alias("x")).select("h1", "h2", "x.id", "x.sig", "x.keys")
     canon = stable(canon)
     found = components(candidate_edges(canon, rules, split))
-    numbered = found.groupBy("root").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("root").alias("grp"), F.posexplode("ids").alias("pos", "id"), F.size("ids").alias("n"))
+    sizes = found.groupBy(F.col("root").alias("grp")).agg(F.count("*").alias("n"))
+    numbered = found.select(F.col("root").alias("grp"), "id").join(sizes, "grp")
     # A doc_id with several texts brings them all; each is compared under the same id.
     text = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("__text"))
-    ready = tasks(numbered, split).join(text, "id").repartition("grp", "b0", "b1").sortWithinPartitions("grp", "b0", "b1", "id").select("grp", "b0", "b1", "id", "__text")
-    final = components(verified_edges(ready, rules, threshold, bands, rows))
+
+    def edges_of(tasks: DataFrame) -> DataFrame:
+        ready = tasks.join(text, "id").repartition("grp", "b0", "b1").sortWithinPartitions("grp", "b0", "b1", "id")
+        return verified_edges(ready.select("grp", "b0", "b1", "id", "__text"), rules, threshold, bands, rows)
+
+    final = components(linked(numbered, split, edges_of))
     own = signed.select("id", "h1", "h2").join(canon.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"])
     own = own.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     return own.select("id", "h1", "h2", F.coalesce("root", "rep").alias("group_id")), signed
 
 
 def near_duplicate_groups(docs: DataFrame, **how) -> DataFrame:
-    """group_id (the least doc_id, which stays), doc_ids (ascending) and n_docs of groups of two and more."""
-    own, _ = members(docs, **how)
-    lists = own.groupBy("group_id").agg(F.sort_array(F.collect_set("id")).alias("doc_ids"))
-    return lists.select("group_id", "doc_ids", F.size("doc_ids").alias("n_docs")).filter("n_docs > 1")
+    """doc_id, group_id (the group's least doc_id, which stays) and n_docs of every document in a group of two and more.
+
+    One row a document, however large a group is; a doc_id of several texts is one document.
+    """
+    own = stable(members(docs, **how)[0].groupBy("id").agg(F.min("group_id").alias("group_id")))
+    sizes = own.groupBy("group_id").agg(F.count("*").alias("n_docs")).filter("n_docs > 1")
+    return join_checked(own, sizes, "group_id").select(F.col("id").alias("doc_id"), "group_id", "n_docs")
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:

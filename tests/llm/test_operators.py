@@ -99,7 +99,7 @@ def test_near_duplicates_recall_against_brute_force(spark):
             texts.append(" ".join(copy))
     docs = table(spark, list(enumerate(texts)))
     for split in (2048, 2):
-        group = {i: r["group_id"] for r in op08_minhash.near_duplicate_groups(docs, split=split).collect() for i in r["doc_ids"]}
+        group = {r["doc_id"]: r["group_id"] for r in op08_minhash.near_duplicate_groups(docs, split=split).collect()}
         true = _pairs(texts, op08_minhash.THRESHOLD)
         hit = sum(group.get(i, -1) == group.get(j, -2) for i, j in true)
         assert hit >= 0.9 * len(true)
@@ -248,4 +248,4 @@ def test_toxicity_on_held_out_documents(spark):
 def test_pipeline_stages_and_rows(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "MinHash near-dedup", "benchmark decontamination", "packing"]
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["window_id", "window_offset", "doc_id", "token_start", "n_tokens"] and out.count() > 0
+    assert out.columns == ["window_id", "window_offset", "doc_id", "token_start", "n_tokens", "token_ids"] and out.count() > 0
