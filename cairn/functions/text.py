@@ -24,10 +24,10 @@ def digest16(x: Column) -> Column:
     return F.substring(F.sha2(x, 256), 1, 16)
 
 
-def coord_id(qualname: Column | str, salt: Column | str | None = None) -> Column:
+def coord_id(qualname: Column | str, salt: Column | str | None = None, digits: int = 6) -> Column:
     """"C-" and six hex digits of the name's SHA-256, salted where ids collide."""
     name = col(qualname)
-    return F.concat(F.lit("C-"), F.substring(F.sha2(name if salt is None else F.concat(name, col(salt)), 256), 1, 6))
+    return F.concat(F.lit("C-"), F.substring(F.sha2(name if salt is None else F.concat(name, col(salt)), 256), 1, digits))
 
 
 def body_hash(text: Column | str) -> Column:

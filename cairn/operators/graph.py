@@ -16,11 +16,21 @@ DYNAMIC = "EVT:<dynamic>"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df computed once into the folder that executors share; a temporary one only where none is named."""
+    """df computed once into the folder that executors share; a temporary one only where none is named in local mode."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-"))
-    return df.checkpoint(eager=True)
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-"))
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key)
+    # A stored table keeps its plan's constraints, and those of a union of stored tables name columns that it hasn't.
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def blast_radius(targets: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
@@ -114,20 +124,27 @@ def centrality(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> Dat
     return rank.crossJoin(F.broadcast(most)).select("coord", (F.col("r") / F.col("m")).alias("centrality"))
 
 
-def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
-    """(node, ancestor, hops) with the least number of hops, over (node, parent); cycles end by themselves."""
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(node, ancestor, hops) with the least number of hops, over (node, parent); cycles end by themselves.
+
+    A round for each level of the deepest chain: the result has as many rows a chain as that anyway.
+    """
     links = stored(parents.select("node", "parent").distinct())
     found = stored(links.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("hops")).filter("node <> ancestor"))
-    frontier = found
-    for hops in range(2, most + 1):
+    frontier, hops = found, 1
+    while not frontier.isEmpty():
+        hops += 1
         step = frontier.alias("f").join(links.alias("l"), F.col("f.ancestor") == F.col("l.node")).select(F.col("f.node").alias("node"), F.col("l.parent").alias("ancestor")).distinct()
-        new = stored(step.filter("node <> ancestor").join(found, ["node", "ancestor"], "left_anti").withColumn("hops", F.lit(hops)))
-        if new.isEmpty():
-            break
-        found, frontier = found.unionByName(new), new
+        frontier = stored(step.filter("node <> ancestor").join(found, ["node", "ancestor"], "left_anti").withColumn("hops", F.lit(hops)))
+        found = found.unionByName(frontier)
     return found
 
 
+def closure_down(parents: DataFrame) -> DataFrame:
+    """(node, descendant, hops): ancestors() read from above."""
+    return ancestors(parents).select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"), "hops")
+
+
 def overrides(closure: DataFrame, methods: DataFrame) -> DataFrame:
     """(cls, name, ancestor): the nearest ancestor that defines a method of the class. methods: cls, name."""
     own = methods.select(F.col("cls").alias("node"), "name")
@@ -136,19 +153,38 @@ def overrides(closure: DataFrame, methods: DataFrame) -> DataFrame:
     return near.select(F.col("node").alias("cls"), "name", F.col("x.ancestor").alias("ancestor"), F.col("x.hops").alias("hops"))
 
 
-def chase(pairs: DataFrame, most: int = 64) -> DataFrame:
-    """(start, final, hops): follows old -> new pointers (the last record of an old id wins) to their end."""
+def chase(pairs: DataFrame) -> DataFrame:
+    """(start, final, hops): follows old -> new pointers (the last record of an old id wins) to their end.
+
+    Pointers are doubled, so that a chain of n takes log n rounds; a chain that runs into a cycle ends
+    before the first id that it would meet again.
+    """
     last = pairs.groupBy("old").agg(F.max_by("new", "seq").alias("new"))
     last = stored(last.filter("old <> new"))
-    at = last.select(F.col("old").alias("start"), F.col("new").alias("final"), F.lit(1).alias("hops"), F.array("old", "new").alias("path"))
-    for _ in range(most):
-        step = at.join(last, at.final == last.old, "left").select("start", "final", "hops", "path", "new")
-        on = F.col("new").isNotNull() & ~F.array_contains("path", F.col("new"))
-        at = stored(step.select("start", F.when(on, F.col("new")).otherwise(F.col("final")).alias("final"), (F.col("hops") + on.cast("int")).alias("hops"), F.when(on, F.array_append("path", F.col("new"))).otherwise(F.col("path")).alias("path"), on.alias("moved")))
-        if at.filter("moved").isEmpty():
+    at = stored(last.select(F.col("old").alias("start"), F.col("new").alias("final"), F.lit(1).cast("long").alias("hops")))
+    n, reach = at.count(), 1
+    while True:
+        ahead = at.select(F.col("start").alias("mid"), F.col("final").alias("then"), F.col("hops").alias("more"))
+        at = stored(at.join(ahead, at.final == ahead.mid, "left").select("start", F.coalesce("then", "final").alias("final"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("then").isNotNull().alias("open")))
+        reach *= 2
+        loose = at.filter("open")
+        if reach > n or loose.isEmpty():
             break
-        at = at.drop("moved")
-    return at.select("start", "final", "hops")
+        at = at.drop("open")
+    ends = at.filter("not open").select("start", "final", F.col("hops").cast("int").alias("hops"))
+    if loose.isEmpty():
+        return ends
+    # What is still open runs into a cycle: its own walk, hop by hop, with its path.
+    walk = loose.select("start").join(last, F.col("start") == F.col("old")).select("start", F.col("new").alias("final"), F.array("start", "new").alias("path"))
+    done = ends
+    while True:
+        step = walk.join(last, walk.final == last.old).select("start", "final", "path", "new")
+        stop = F.array_contains("path", F.col("new"))
+        step = stored(step)
+        done = done.unionByName(step.filter(stop).select("start", "final", (F.size("path") - 1).alias("hops")))
+        walk = stored(step.filter(~stop).select("start", F.col("new").alias("final"), F.array_append("path", F.col("new")).alias("path")))
+        if walk.isEmpty():
+            return done
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def vetoes(pairs: DataFrame, entities: DataFrame, builtins: DataFrame) -> DataFr
     builtins: suffix and name of what each language defines itself.
     """
     ents = prepared(entities)
-    up = stored(ancestors(entities.filter("parent is not null").select(F.col("coord").alias("node"), "parent"), most=12))
+    up = ancestors(entities.filter("parent is not null").select(F.col("coord").alias("node"), "parent"))
     kinds = entities.select("coord", F.col("kind").alias("k"))
     # The innermost function around each entity that has one.
     enclosed = up.join(kinds.withColumnRenamed("coord", "ancestor"), "ancestor").filter(F.col("k").isin("function", "method"))
@@ -77,7 +77,9 @@ def vetoes(pairs: DataFrame, entities: DataFrame, builtins: DataFrame) -> DataFr
     inside = up.select(F.col("node").alias("src"), F.col("ancestor").alias("encloser")).unionByName(entities.select(F.col("coord").alias("src"), F.col("coord").alias("encloser"))).withColumn("in_scope", F.lit(True))
     dst = ents.select(F.col("coord").alias("dst"), F.col("kind").alias("dst_kind"), F.col("is_test").alias("dst_test"), F.col("short").alias("dst_short"))
     src = ents.select(F.col("coord").alias("src"), F.col("is_test").alias("src_test"), F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("suffix"))
-    names = F.broadcast(builtins.select("suffix", F.col("name").alias("dst_short"), F.lit(True).alias("is_builtin")))
+    # Language builtins are a fixed list of some hundred names; a longer one isn't forced to be broadcast.
+    names = builtins.select("suffix", F.col("name").alias("dst_short"), F.lit(True).alias("is_builtin"))
+    names = F.broadcast(names) if builtins.limit(10_001).count() <= 10_000 else names
     out = pairs.join(dst, "dst").join(src, "src").join(enclosed, "dst", "left").join(inside, ["src", "encloser"], "left").join(names, ["suffix", "dst_short"], "left")
     # A function-local target is decided by scope alone.
     why = (
@@ -117,7 +119,7 @@ def build_edges(refs: DataFrame, entities: DataFrame, bases: DataFrame, builtins
     bad = checked.filter("veto <> ''")
     first = calls.filter("dst is not null").join(bad.select("i"), "i", "left_anti").select("i", "dst", F.lit(EXACT).alias("confidence"), F.lit("exact").alias("resolution"))
     done, rest = first, calls.join(first.select("i"), "i", "left_anti").drop("dst")
-    up = stored(ancestors(bases.select(F.col("cls").alias("node"), F.col("base").alias("parent"))))
+    up = ancestors(bases.select(F.col("cls").alias("node"), F.col("base").alias("parent")))
     by_name = ents.select("qualname", "coord")
 
     def through(pairs: DataFrame) -> DataFrame:
