@@ -184,10 +184,10 @@ def is_test_path(path: Column | str) -> Column:
     name = F.element_at(F.split(p, "/"), -1)
     by_dir = F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, _TEST_PARTS)))
     by_name = (
-        F.when(name.endswith(".py"), name.startswith("test_") | name.endswith("_test.py") | (name == "conftest.py"))
+        F.when(name.endswith(".py"), name.startswith("test_") | name.endswith("_test.py"))
         .when(name.endswith(".go"), name.endswith("_test.go"))
-        .when(name.rlike(r"\.[cm]?[jt]sx?$"), name.rlike(r"\.(test|spec)\.[cm]?[jt]sx?$"))
-        .when(name.endswith(".java"), name.rlike(r"(Test|Tests|IT)\.java$") | name.rlike(r"^Test[A-Z].*\.java$"))
+        .when(name.rlike(r"\.[jt]sx?$"), F.contains(name, F.lit(".test.")) | F.contains(name, F.lit(".spec.")))
+        .when(name.endswith(".java"), name.rlike(r"Tests?\.java$"))
         .otherwise(F.lit(False))
     )
     return by_dir | by_name
@@ -198,7 +198,9 @@ def is_runnable_test(path: Column | str, kind: Column | str, qualname: Column |
     parts = F.split(col(qualname), r"\.")
     inside = F.slice(parts, F.size(F.split(module_of(path), r"\.")) + 1, F.size(parts))
     outer = F.slice(inside, 1, F.greatest(F.size(inside) - 1, F.lit(0)))
-    return is_test_path(path) & col(path).endswith(".py") & col(kind).isin("function", "method") & short_of(qualname).startswith("test") & F.forall(outer, lambda x: x.startswith("Test"))
+    name = F.element_at(F.split(col(path), "/"), -1)
+    collected = name.rlike(r"^test_.*\.py$|_test\.py$")
+    return is_test_path(path) & collected & col(kind).isin("function", "method") & short_of(qualname).startswith("test") & F.forall(outer, lambda x: x.startswith("Test"))
 
 
 def module_of(path: Column | str) -> Column:

@@ -199,8 +199,14 @@ def neighbours(edges: DataFrame, coord: str) -> DataFrame:
     return touched.select(F.when(F.col("src") == coord, "out").otherwise("in").alias("direction"), F.when(~other.startswith("EVT:"), other).alias("other"), "kind", "confidence", "resolution")
 
 
+def event_sides(edges: DataFrame) -> DataFrame:
+    """(event, side, coord) once each: what event_pairs() collects, for events of any number of users."""
+    used = edges.filter(F.col("kind").isin("emits", "consumes"))
+    return used.select(F.col("dst").alias("event"), F.col("kind").alias("side"), F.col("src").alias("coord")).distinct()
+
+
 def event_pairs(edges: DataFrame) -> DataFrame:
-    """event, emitters and consumers, each sorted and distinct."""
+    """event, emitters and consumers, each sorted and distinct: for display, a row holds all of an event's users."""
     side = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("src"))))
     used = edges.filter(F.col("kind").isin("emits", "consumes"))
     return used.groupBy(F.col("dst").alias("event")).agg(side("emits").alias("emitters"), side("consumes").alias("consumers"))

@@ -66,6 +66,23 @@ def census(log: DataFrame, entities: DataFrame, lineage_old: DataFrame) -> DataF
     return known.groupBy("coord", "qualname", "channel").agg(F.count("*").alias("n"), F.bool_or(F.coalesce(F.col("stale"), F.lit(False)) | F.col("qualname").isNull()).alias("stale"))
 
 
+def by_channel(log: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
+    """(coord, channel, entries): rows of the known channels that hold any, in file order."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    return log.filter(F.col("channel").isin(*channels)).groupBy("coord", "channel").agg(rows.alias("entries"))
+
+
+def reaffirm(log: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows to append for wanted (coord, channel, stamp): one stamp row that counts the prose rows it vouches for.
+
+    A channel without prose can't be vouched for: it gives a row with `refused` true and no position.
+    """
+    prose = log.groupBy(*KEY).agg(F.count_if(~is_stamp_row()).alias("n"), F.max("pos").alias("last"))
+    joined = wanted.join(prose, list(KEY), "left")
+    ok = F.coalesce("n", F.lit(0)) > 0
+    return joined.select(*KEY, F.when(ok, F.col("last") + 1).alias("pos"), F.lit("").alias("text"), "stamp", F.when(ok, F.col("n")).alias("reaffirms"), (~ok).alias("refused"))
+
+
 def search(display: DataFrame, needle: str, cap: int = 3) -> DataFrame:
     """Coords with prose rows that hold the needle, case-insensitively: counts and the first excerpts."""
     hits = display.filter(F.contains(F.lower("text"), F.lit(needle.lower())))
@@ -98,14 +115,22 @@ def at_risk(display: DataFrame, edges: DataFrame, changed: DataFrame, channels:
 
 
 def migrate(log: DataFrame, moves: DataFrame) -> DataFrame:
-    """Rows to append for moves (old, new, restamp or null, note): the old coord's rows, then a history row."""
+    """Rows to append for moves (old, new, restamp or null, note): the old coord's rows, then a history row.
+
+    Positions go on after what the new coord's channel has; the history row is the last of its channel.
+    """
     next_pos = log.groupBy(*KEY).agg(F.max("pos").alias("last")).withColumnRenamed("coord", "new")
     copies = log.join(moves.select(F.col("old").alias("coord"), "new", "restamp"), "coord")
     stamp = F.when(F.nullif(F.col("stamp"), F.lit("")).isNotNull(), F.coalesce("restamp", "stamp")).otherwise(F.col("stamp"))
-    copies = copies.withColumn("stamp", stamp).join(next_pos, ["new", "channel"], "left")
-    order = F.row_number().over(Window.partitionBy("new", "channel").orderBy("coord", "pos"))
-    copies = copies.withColumn("pos", F.coalesce(F.col("last"), F.lit(-1)) + order).withColumn("coord", F.col("new"))
-    return copies.select(*log.columns)
+    copies = copies.withColumn("stamp", stamp).withColumn("tail", F.lit(0))
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in log.schema if f.name not in ("coord", "channel", "text", "pos", "author")}
+    if "author" in log.columns:
+        blank["author"] = F.lit("lineage")
+    notes = moves.select(F.col("old").alias("coord"), "new", F.lit("history").alias("channel"), F.col("note").alias("text"), F.lit(0).cast(log.schema["pos"].dataType).alias("pos"), F.lit(1).alias("tail"), *[v.alias(k) for k, v in blank.items()])
+    rows = copies.select("new", "tail", *log.columns).unionByName(notes.select("new", "tail", *log.columns)).join(next_pos, ["new", "channel"], "left")
+    order = F.row_number().over(Window.partitionBy("new", "channel").orderBy("tail", "coord", "pos"))
+    rows = rows.withColumn("pos", F.coalesce(F.col("last"), F.lit(-1)) + order).withColumn("coord", F.col("new"))
+    return rows.select(*log.columns)
 
 
 def union_merge(local: DataFrame, other: DataFrame, key: tuple[str, ...]) -> DataFrame:
@@ -123,6 +148,9 @@ def trace_rows(hops: DataFrame) -> DataFrame:
 
 
 def inherited(log: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """Prose of ancestor methods: ancestors has coord, ancestor and hops. Stamp rows are left out."""
+    """Prose of ancestor methods, with its staleness against the ancestor: ancestors has coord, ancestor and hops.
+
+    log: with_staleness(), which judged each row by its own coord. Stamp rows are left out.
+    """
     own = log.filter(~is_stamp_row()).withColumnRenamed("coord", "ancestor")
     return ancestors.join(own, "ancestor")

@@ -176,34 +176,74 @@ def detect(old: DataFrame, new: DataFrame, use_sketch: bool = True) -> DataFrame
     return moved.unionByName(scored).unionByName(deleted)
 
 
-def ancestry(log: DataFrame, coord: str) -> list[dict]:
-    """Records that lead to coord, newest first: the frontier grows by the old ids of each hit.
+def ancestry(log: DataFrame, coords: DataFrame) -> DataFrame:
+    """(coord, seq, kind, old, new) of the records that lead to each coord of coords, as the log has them.
 
-    One entity's history is short; the log is filtered by joins round by round, not collected.
+    A record counts if it names an id that is known to lead there; its old ids lead there, too. The log
+    is exploded once, and each round joins the new ids with it.
     """
-    frontier, found, seen = {coord}, {}, set()
-    while frontier:
-        rows = log.filter(F.exists("new", lambda x: x.isin(*frontier)) | F.exists("old", lambda x: x.isin(*frontier))).collect()
-        seen |= frontier
-        frontier = set()
-        for r in rows:
-            if r["seq"] not in found:
-                found[r["seq"]] = r.asDict()
-                frontier |= set(r["old"]) - seen
-    return [found[k] for k in sorted(found, reverse=True)]
-
-
-def replay(entities: DataFrame, old: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to append to the new version's log, orphans): notes of another version follow their entity.
-
-    By equal coord, else by the best pair score of SURE at least within the kind; else orphaned, with
-    the best score seen. Rows whose text is already there are left out; stamps stay as they were.
+    named = stored(log.select("seq", "old", F.explode(F.array_distinct(F.concat("old", "new"))).alias("id")))
+    seen = stored(coords.select("coord", F.col("coord").alias("id")).distinct())
+    front, hits = seen, None
+    while not front.isEmpty():
+        found = stored(front.join(named, "id").select("coord", "seq", "old").distinct())
+        hits = found.select("coord", "seq") if hits is None else hits.unionByName(found.select("coord", "seq"))
+        front = stored(found.select("coord", F.explode("old").alias("id")).distinct().join(seen, ["coord", "id"], "left_anti"))
+        seen = seen.unionByName(front)
+    every = hits.distinct() if hits is not None else coords.select("coord", F.lit(0).cast(log.schema["seq"].dataType).alias("seq")).limit(0)
+    return every.join(log, "seq").select("coord", "seq", "kind", "old", "new")
+
+
+def next_version(spark, folder: str) -> int:
+    """One more than the largest v<N> below folder; 1 where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+    return max([int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()], default=0) + 1
+
+
+def snapshot(tables: dict[str, DataFrame], folder: str) -> int:
+    """Writes the tables as the next version below folder; its number. A version is complete once its marker is there."""
+    spark = next(iter(tables.values())).sparkSession
+    n = next_version(spark, folder)
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/v{n}/{name}")
+    spark.createDataFrame([(n,)], "version int").coalesce(1).write.parquet(f"{folder}/v{n}/complete")
+    return n
+
+
+def newest(spark, folder: str, name: str) -> DataFrame | None:
+    """A table of the newest version that is complete and readable; None where there is none."""
+    for n in range(next_version(spark, folder) - 1, 0, -1):
+        try:
+            spark.read.parquet(f"{folder}/v{n}/complete")
+            return spark.read.parquet(f"{folder}/v{n}/{name}")
+        except Exception:  # noqa: BLE001 - an unreadable version is passed over for the one before
+            continue
+    return None
+
+
+def mined_renames(commits: DataFrame) -> DataFrame:
+    """Lineage of rename lines (status, old_path, new_path, seq): one record a pair of paths, ids prefixed "git:"."""
+    moved = commits.filter(F.startswith("status", F.lit("R")))
+    first = moved.groupBy("old_path", "new_path").agg(F.min("seq").alias("seq"))
+    ids = lambda c: F.array(F.concat(F.lit("git:"), F.col(c)))
+    return first.select("seq", F.lit("renamed").alias("kind"), ids("old_path").alias("old"), ids("new_path").alias("new"), F.lit("mined-git").alias("author"))
+
+
+def replay(entities: DataFrame, old: DataFrame, log: DataFrame, local: DataFrame, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to append to the local log, orphans): notes of another version follow their entity.
+
+    By equal coord, else by the best pair score of SURE at least within the kind (pairs: o_coord, n_coord,
+    score, pair_scores() if not given); else orphaned, with the best score seen. Rows whose text the local
+    channel has are left out, so that a second replay appends nothing; stamps stay as they were.
     """
     same = old.join(entities.select("coord"), "coord", "left_semi").select("coord", F.col("coord").alias("target"), F.lit(1.0).alias("score"))
     gone = stored(old.join(entities.select("coord"), "coord", "left_anti").join(log.select("coord").distinct(), "coord", "left_semi"))
-    scores = pair_scores(gone, entities)
+    scores = pair_scores(gone, entities) if pairs is None else pairs
     best = scores.groupBy(F.col("o_coord").alias("coord")).agg(F.max(F.struct("score", "n_coord")).alias("b")).select("coord", F.col("b.n_coord").alias("target"), F.col("b.score").alias("score"))
     best = stored(gone.select("coord").join(best, "coord", "left"))
     follow = same.unionByName(best.filter(F.col("score") >= SURE))
     rows = log.join(follow.select("coord", "target"), "coord").withColumn("coord", F.col("target")).drop("target")
+    rows = rows.join(local.select("coord", "channel", "text").distinct(), ["coord", "channel", "text"], "left_anti").select(*log.columns)
     return rows, best.filter(F.coalesce("score", F.lit(0.0)) < SURE).select("coord", F.coalesce("score", F.lit(0.0)).alias("best_score"))

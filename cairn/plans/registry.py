@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, corpus, graphs, logs
+from . import briefs, code, corpus, graphs, logs
 
 entry = graphs.entry
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return code.QUERIES | corpus.QUERIES | graphs.QUERIES | logs.QUERIES
+    return briefs.QUERIES | code.QUERIES | corpus.QUERIES | graphs.QUERIES | logs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return code.SQL | corpus.SQL | graphs.SQL | logs.SQL
+    return briefs.SQL | code.SQL | corpus.SQL | graphs.SQL | logs.SQL
