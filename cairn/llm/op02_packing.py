@@ -83,9 +83,16 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return rows, window
 
 
+def id_width(held) -> np.dtype:
+    """Two bytes an id where the vocabulary's ids fit into them, else four: what is shuffled and stored."""
+    ids = (int(line.split()[1]) for line in held.value[0].splitlines())
+    return np.dtype("<u2") if max(ids) < 1 << 16 else np.dtype("<u4")
+
+
 def token_counts(docs: DataFrame, path: str | None = None, tokens: bool = False) -> DataFrame:
-    """doc_id and n, its tokens, of each row; their ids as well if asked for."""
+    """doc_id and n, its tokens, of each row; their ids as well if asked for, as bytes of id_width()."""
     held = vocabulary(docs.sparkSession, path)
+    kind = id_width(held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(held)
@@ -94,10 +101,10 @@ def token_counts(docs: DataFrame, path: str | None = None, tokens: bool = False)
             n = np.array([len(x) for x in each], np.int64)
             out = [batch.column(0), pa.array(n)]
             if tokens:
-                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.concatenate(each).astype(np.int32))))
+                out.append(pa.array([x.astype(kind).tobytes() for x in each], pa.binary()))
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "token_ids"][: len(out)])
 
-    shape = "doc_id long, n long" + ", token_ids array<int>" * tokens
+    shape = "doc_id long, n long" + ", token_ids binary" * tokens
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, shape)
 
 
@@ -123,6 +130,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, tok
     steps, base = plan(rests, capacity)
     for pid in sorted(whole):
         whole[pid], base = base, base + whole[pid]
+    kind = id_width(vocabulary(docs.sparkSession, path)) if tokens else None
     known = docs.sparkSession.sparkContext.broadcast((np.array(sorted(steps), np.int64).reshape(-1, 5), ahead, whole))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +163,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, tok
                 window[tail], offset[tail], size[tail] = begin + again, shift + slot * rest[at], rest[at]
             out = [pa.array(window), pa.array(offset), batch.column(0).take(pa.array(row)), pa.array(turn * capacity), pa.array(size)]
             if tokens:
-                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), batch.column(2).flatten()))
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.frombuffer(b"".join(batch.column(2).to_pylist()), kind).astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, ["window_id", "window_offset", "doc_id", "token_start", "n_tokens", "token_ids"][: len(out)])
 
     shape = "window_id long, window_offset long, doc_id long, token_start long, n_tokens long" + ", token_ids array<int>" * tokens

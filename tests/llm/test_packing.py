@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from cairn.llm import op02_packing as P
+from cairn.llm.tokens import vocabulary
 from tests.llm.test_operators import table, words
 
 rng = random.Random(23)
@@ -58,7 +60,8 @@ def test_whole_plan_against_brute_force(spark, partitions):
         assert len(r["token_ids"]) == r["n_tokens"]
         ids.setdefault(r["doc_id"], []).append((r["token_start"], tuple(r["token_ids"])))
     for r in sizes:
-        pieces = [(k, tuple(r["token_ids"][k : k + capacity])) for k in range(0, r["n"], capacity)]
+        held = np.frombuffer(r["token_ids"], P.id_width(vocabulary(spark))).tolist()
+        pieces = [(k, tuple(held[k : k + capacity])) for k in range(0, r["n"], capacity)]
         for piece in pieces:
             ids[r["doc_id"]].remove(piece)
     assert not any(ids.values())
