@@ -171,7 +171,12 @@ def chase(pairs: DataFrame) -> DataFrame:
         if reach > n or loose.isEmpty():
             break
         at = at.drop("open")
-    ends = at.filter("not open").select("start", "final", F.col("hops").cast("int").alias("hops"))
+    at = at.select("start", "final", F.col("hops").cast("int").alias("hops"))
+    if loose.isEmpty():
+        return at
+    # n steps and more: what has no end by now runs into a cycle.
+    onward = last.select(F.col("old").alias("final"))
+    ends, loose = at.join(onward, "final", "left_anti").select("start", "final", "hops"), stored(at.join(onward, "final", "left_semi"))
     if loose.isEmpty():
         return ends
     # What is still open runs into a cycle: its own walk, hop by hop, with its path.

@@ -185,7 +185,7 @@ def map_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that name part brands in backticks; Brand#1 to #9 are ambiguous with their longer names' ends."""
     part = table(spark, sf_dir, "part")
-    entities = part.groupBy(F.concat(F.lit("p."), F.replace("p_brand", F.lit("#"), F.lit(""))).alias("qualname")).agg(F.min("p_partkey").cast("string").alias("coord"), F.lit("").alias("logic_hash"), F.max("p_type").alias("body_hash"))
+    entities = part.groupBy(F.concat(F.lit("p."), F.replace("p_brand", F.lit("#"), F.lit(""))).alias("qualname")).agg(F.min("p_partkey").cast("string").alias("coord"), F.lit("").alias("logic_hash"), F.min_by("p_type", "p_partkey").alias("body_hash"))
     entities = entities.unionByName(entities.filter("qualname in ('p.Brand1', 'p.Brand2')").select(F.replace("qualname", F.lit("p."), F.lit("q.")).alias("qualname"), F.concat(F.lit("q"), "coord").alias("coord"), "logic_hash", "body_hash"))
     docs = part.select(F.concat(F.lit("docs/"), F.when(F.col("p_type") == "SMALL", "examples/").otherwise(""), F.col("p_partkey").cast("string")).alias("doc"), F.concat(F.lit("See `"), F.when(F.col("p_size") > 25, "p.").otherwise(""), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("` and `none.such`")).alias("text"))
     found = harvest.doc_bindings(docs, entities)
@@ -299,7 +299,7 @@ SELECT conv_id, turn, trimmed, nb::INTEGER AS n_bytes, n_kept, n - n_kept AS n_d
 m AS (SELECT f.*, c_acctbal < 0 AS dirty, CASE WHEN c_mktsegment <> 'FURNITURE' THEN p0 END AS ix FROM f JOIN customer ON c_custkey = c), b AS (SELECT m.c, count(*) AS n FROM m JOIN o ON o.c = m.c AND o.pos > m.ix AND real GROUP BY m.c),
 x AS (SELECT m.c, CASE WHEN dirty THEN 'dirty' WHEN head = t0 THEN 'fresh' WHEN ix IS NULL THEN 'unknown' WHEN coalesce(n, 0) > 0 THEN 'behind' ELSE 'fresh' END AS state, coalesce(n, 0) AS n FROM m LEFT JOIN b ON b.c = m.c)
 SELECT 'C' || c AS repo, state, CASE WHEN state = 'behind' THEN n ELSE 0 END AS behind FROM x""",
-    "doc_bindings": """WITH e AS (SELECT replace(p_brand, '#', '') AS b, min(p_partkey)::VARCHAR AS coord, max(p_type) AS t FROM part GROUP BY 1)
+    "doc_bindings": """WITH e AS (SELECT replace(p_brand, '#', '') AS b, min(p_partkey)::VARCHAR AS coord, arg_min(p_type, p_partkey) AS t FROM part GROUP BY 1)
 SELECT 'docs/' || p_partkey AS doc, coord, t <> 'STANDARD' AS fresh FROM part JOIN e ON b = replace(p_brand, '#', '') WHERE p_type <> 'SMALL' AND (p_size > 25 OR b NOT IN ('Brand1', 'Brand2'))""",
     "scalars": """WITH p AS (SELECT *, p_partkey::VARCHAR AS k, p_size::VARCHAR AS z, split_part(p_name, ' ', 1) AS w, ['tests/', 'src/', 'a/__tests__/', 'lib/'][p_size % 4 + 1] || ['test_a.py', 'b.py', 'c_test.go', 'd.spec.ts', 'ETest.java'][p_size % 5 + 1] AS path, list_sort(list_distinct([p_partkey::VARCHAR, '12', '7', p_size::VARCHAR])) AS every FROM part)
 SELECT p_partkey, 'm.f' || k AS base, 'f' || k AS short, CASE WHEN p_size > 25 THEN p_size END::INTEGER AS arity, 'm.g/' || z || CASE WHEN p_size % 3 > 1 THEN '#' || (p_size % 3) ELSE '' END AS rendered, '#' || k AS verdict_ref, 'uses `a.b` and `' || w || '` (#12) PR #7, see #' || z AS verdict_text,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import interval, lineage, metrics, resolve
+from ..operators import graph, interval, lineage, metrics, resolve
 
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 TOKENS = r"[A-Za-z_][\p{L}\p{N}_]*|[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}A-Za-z_]"
@@ -80,11 +80,12 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """What each user did in the first and in the second half of January: two snapshots."""
+    """Which types of events each user had with each property, in the first two days and later: two snapshots."""
     events = table(spark, sf_dir, "events")
-    kinds = F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "event_type", "props"))), "|")
+    kinds = F.array_join(F.array_sort(F.collect_set("event_type")), "|")
+    key = F.concat_ws(":", F.col("user_id").cast("string"), F.get_json_object("props", "$.k"))
     late = F.dayofmonth("ts") > 2
-    return [events.filter(half).groupBy(F.col("user_id").alias("coord")).agg(kinds.alias("body_hash")) for half in (~late, late)]
+    return [events.filter(half).groupBy(key.alias("coord")).agg(kinds.alias("body_hash")) for half in (~late, late)]
 
 
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +94,17 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as the old snapshot, the others as the new one: copies are moves."""
+    """Labelled documents as the old snapshot, the others as the new one: copies are moves.
+
+    Texts of one source with as many characters, but for the last two digits, count as of equal logic.
+    Digests are taken in the scan and stored; no text is shuffled.
+    """
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    known = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    shape = [F.col("doc_id").alias("coord"), F.col("lang").alias("kind"), F.col("doc_id").alias("pos"), T.body_hash("text").alias("body_hash"), T.body_hash(F.lower("text")).alias("logic_hash")]
-    return lineage.exact_moves(docs.join(known, "doc_id", "left_semi").select(*shape), docs.join(known, "doc_id", "left_anti").select(*shape))
+    alike = F.concat_ws("|", "source", F.floor(F.col("n_chars") / 100).cast("string"))
+    shape = [F.col("doc_id").alias("coord"), F.col("lang").alias("kind"), F.col("doc_id").alias("pos"), T.body_hash("text").alias("body_hash"), T.body_hash(alike).alias("logic_hash")]
+    rows = graph.stored(docs.select(*shape))
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("coord")).distinct()
+    return lineage.exact_moves(rows.join(known, "coord", "left_semi"), rows.join(known, "coord", "left_anti"))
 
 
 def resolve_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,11 +172,10 @@ d AS (SELECT doc_id, n, generate_subscripts(sketch, 1) AS p, unnest(sketch) AS v
 i AS (SELECT item_id, n, generate_subscripts(sketch, 1) AS p, unnest(sketch) AS v FROM s_benchmark),
 e AS (SELECT item_id, doc_id, i.n AS ni, d.n AS nd, count(*) AS n_equal FROM i JOIN d USING (p, v) GROUP BY ALL)
 SELECT item_id, doc_id, n_equal, least(1.0::DOUBLE, ((n_equal::DOUBLE / 48) / (1 + n_equal::DOUBLE / 48) * (ni + nd)) / ni) AS containment FROM e""",
-    "snapshot_diff": """WITH e AS (SELECT user_id, day(ts) > 2 AS late, event_type || ':' || props AS x FROM events),
-h AS (SELECT user_id, late, array_to_string(list_sort(list(DISTINCT x)), '|') AS b FROM e GROUP BY ALL)
-SELECT coalesce(o.user_id, n.user_id) AS coord, CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'removed' WHEN o.b = n.b THEN 'same' ELSE 'changed' END AS change
-FROM (SELECT * FROM h WHERE NOT late) o FULL JOIN (SELECT * FROM h WHERE late) n ON o.user_id = n.user_id""",
-    "exact_moves": f"""WITH d AS (SELECT doc_id, lang, {BODY} AS b, {BODY.replace('(text', '(lower(text)')} AS l, doc_id IN (SELECT doc_id FROM labels) AS old FROM documents WHERE text IS NOT NULL),
+    "snapshot_diff": """WITH h AS (SELECT user_id || ':' || json_extract_string(props, '$.k') AS c, day(ts) > 2 AS late, array_to_string(list_sort(list(DISTINCT event_type)), '|') AS b FROM events GROUP BY ALL)
+SELECT coalesce(o.c, n.c) AS coord, CASE WHEN o.c IS NULL THEN 'added' WHEN n.c IS NULL THEN 'removed' WHEN o.b = n.b THEN 'same' ELSE 'changed' END AS change
+FROM (SELECT * FROM h WHERE NOT late) o FULL JOIN (SELECT * FROM h WHERE late) n ON o.c = n.c""",
+    "exact_moves": f"""WITH d AS (SELECT doc_id, lang, {BODY} AS b, substr(sha256(source || '|' || n_chars // 100), 1, 16) AS l, doc_id IN (SELECT doc_id FROM labels) AS old FROM documents WHERE text IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY old, lang, b ORDER BY doc_id) AS k FROM d),
 one AS (SELECT o.doc_id AS old, n.doc_id AS new, 'identical body' AS how FROM r o JOIN r n USING (lang, b, k) WHERE o.old AND NOT n.old),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY old, lang, l ORDER BY doc_id) AS k FROM d WHERE doc_id NOT IN (SELECT old FROM one UNION ALL SELECT new FROM one))

@@ -12,14 +12,14 @@ from .corpus import table
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A turn that asks something reaffirms what was said before; each is stamped with its text's digest."""
-    ask = F.contains("text", F.lit("?")).cast("int")
+    """A turn of several lines reaffirms what was said before; each is stamped with its text's digest."""
+    ask = F.contains("text", F.lit(".\n")).cast("int")
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("coord"), F.col("role").alias("channel"), F.col("turn").alias("pos"), "text", F.substring(F.md5("text"), 1, 16).alias("stamp"), ask.alias("reaffirms"))
 
 
 def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
-    accepted = log.groupBy("coord").agg(F.array(F.max_by("stamp", "pos"), F.min_by("stamp", "pos")).alias("accepted"))
+    accepted = log.groupBy("coord").agg(F.array(F.max_by("stamp", "pos"), F.min_by("stamp", "pos"), F.max("stamp")).alias("accepted"))
     return K.with_staleness(log, accepted)
 
 
@@ -41,9 +41,10 @@ def knowledge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was said since the third turn."""
+    """What was said since the third turn; what the system said was written otherwise then."""
     log = _log(spark, sf_dir)
-    return K.review(log, log.filter("pos < 3")).select("coord", "channel", "pos", "text", "predecessor", "rewritten", "added")
+    was = log.filter("pos < 3").withColumn("text", F.when(F.col("channel") == "system", F.upper("text")).otherwise(F.col("text")))
+    return K.review(log, was).select("coord", "channel", "pos", "text", "predecessor", "rewritten", "added")
 
 
 def log_union_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +83,8 @@ def byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (knowledge_staleness, knowledge_display, knowledge_lag, knowledge_search, knowledge_review, log_union_merge, trace_rows, evidence_merge, evidence_summary, provenance_labels, byte_budget)}
 
-_LOG = """l AS (SELECT conv_id AS coord, role AS channel, turn AS pos, text, substr(md5(text), 1, 16) AS stamp, contains(text, '?') AS ask FROM conversations),
-a AS (SELECT coord, [arg_max(stamp, pos), arg_min(stamp, pos)] AS ok FROM l GROUP BY coord),
+_LOG = """l AS (SELECT conv_id AS coord, role AS channel, turn AS pos, text, substr(md5(text), 1, 16) AS stamp, contains(text, '.' || chr(10)) AS ask FROM conversations),
+a AS (SELECT coord, [arg_max(stamp, pos), arg_min(stamp, pos), max(stamp)] AS ok FROM l GROUP BY coord),
 m AS (SELECT l.*, NOT list_contains(ok, stamp) AS moved FROM l JOIN a USING (coord)),
 v AS (SELECT *, max(CASE WHEN ask AND NOT moved THEN pos END) OVER (PARTITION BY coord, channel) AS v FROM m),
 s AS (SELECT *, moved AND NOT coalesce(pos < v, false) AS stale FROM v),
@@ -99,7 +100,8 @@ h AS (SELECT *, {_FLAT} AS f, row_number() OVER (PARTITION BY coord ORDER BY cha
 x AS (SELECT *, greatest(1, position('er' IN lower(f)) - 80) AS b FROM h),
 y AS (SELECT *, CASE WHEN b > 1 THEN '…' ELSE '' END || substr(f, b, 160) || CASE WHEN b + 159 < length(f) THEN '…' ELSE '' END AS e FROM x)
 SELECT coord, count(*) AS matches, count(*) FILTER (WHERE place = 1) AS live, string_agg(e, '|' ORDER BY hit) FILTER (WHERE hit <= 3) AS excerpts FROM y GROUP BY coord""",
-    "knowledge_review": "SELECT * FROM (SELECT conv_id AS coord, role AS channel, turn AS pos, text, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS predecessor, false AS rewritten, true AS added FROM conversations) WHERE pos >= 3",
+    "knowledge_review": """WITH r AS (SELECT conv_id AS coord, role AS channel, turn AS pos, text, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS predecessor, turn < 3 AND role = 'system' AND upper(text) <> text AS broken FROM conversations)
+SELECT coord, channel, pos, text, predecessor, rewritten, pos >= 3 AS added FROM (SELECT *, bool_or(broken) OVER (PARTITION BY coord, channel) AS rewritten FROM r) WHERE pos >= 3 OR broken""",
     "log_union_merge": "SELECT conv_id, role, turn, text, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS origin FROM (SELECT DISTINCT conv_id, role, turn, text FROM conversations)",
     "trace_rows": """WITH p AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS full_path FROM conversations GROUP BY conv_id)
 SELECT conv_id AS trace_id, turn AS seq, role AS coord, 'traces' AS channel, text, full_path FROM conversations JOIN p USING (conv_id)""",

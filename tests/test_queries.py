@@ -22,7 +22,7 @@ def norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - {"near_pairs", "minhash_sketch"}))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
