@@ -15,9 +15,9 @@ def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def summarise(rows: DataFrame, by: str, order: list[Column], label: Column, shown: int = 5) -> DataFrame:
     """Rows of each source, and the labels of the first `shown`."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    ranked = rows.select(by, label.alias("label"), place.alias("place"))
-    first = F.array_sort(F.collect_list(F.when(F.col("place") <= shown, F.struct("place", "label"))))
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.transform(first, lambda x: x["label"]).alias("top"))
+    ranked = rows.select(by, label.alias("label"), place.alias("place")).filter(F.col("place") <= shown)
+    first = ranked.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"]).alias("top"))
+    return rows.groupBy(by).agg(F.count("*").alias("n")).join(first, by)
 
 
 def provenance(rows: DataFrame, by: str, order: list[Column], boundary: str) -> DataFrame:

@@ -192,6 +192,23 @@ def chase(pairs: DataFrame) -> DataFrame:
             return done
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """(id, root) of the ids in pairs (a, b): the least id that each is connected to.
+
+    Each round takes the least root among an id's neighbours, then the root of that root.
+    """
+    both = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    at = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
+    while True:
+        near = both.join(at.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
+        low = at.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "m").alias("mid"))
+        jump = at.select(F.col("id").alias("mid"), F.col("root").alias("then"))
+        new = stored(low.join(jump, "mid", "left").select("id", "was", F.least("mid", F.coalesce("then", "mid")).alias("root")))
+        if new.filter("was <> root").isEmpty():
+            return new.select("id", "root")
+        at = new.select("id", "root")
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     return edges.join(nodes.select(F.col("coord").alias("src")), "src", "left_semi").join(nodes.select(F.col("coord").alias("dst")), "dst", "left_semi").select(edges.columns)

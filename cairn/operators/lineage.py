@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import sketch_containment, sketch_jaccard, size_ratio
-from .graph import stored
+from .graph import components, stored
 
 WEIGHTS = {"name": 0.22, "jac": 0.30, "shape": 0.22, "sig": 0.13, "loc": 0.13}
 FLOOR, SURE, MARGIN, WEAK, CONTAINED = 0.33, 0.55, 0.05, 0.03, 0.5
@@ -60,14 +60,41 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def pair_scores(old: DataFrame, new: DataFrame, use_sketch: bool = True, blocks: tuple[str, ...] = ()) -> DataFrame:
-    """Scores of old and new entities of one kind (and of equal further `blocks` columns).
+#: Places of a sketch that make a band: two entities meet if they share one.
+BAND = 2
 
-    A signal that wasn't measured is left out and the weights of the others are scaled up.
+
+def candidate_pairs(old: DataFrame, new: DataFrame, use_sketch: bool = True) -> DataFrame:
+    """(o_coord, n_coord) of one kind with the same last name, the same shape or a common band of sketches.
+
+    Equi-joins on those keys; a shape meets only where sizes are within a factor of two or the signature is
+    the same, so that the many small functions of one shape don't all meet. A pair outside can't reach SURE
+    unless name and signature are almost the same under another last name.
+    """
+    short = lambda c: F.element_at(F.split(c, r"\."), -1)
+    keys = [F.struct(F.lit("n").alias("t"), F.xxhash64(short("qualname")).alias("k"))]
+    scale = F.floor(F.log2(F.greatest("loc", F.lit(1))))
+    shape = F.coalesce("shape_hash", F.lit("")) != ""
+    keys += [F.when(shape, F.struct(F.lit(f"s{i}").alias("t"), F.xxhash64("shape_hash", x).alias("k"))) for i, x in enumerate((scale, F.col("signature")))]
+    if use_sketch:
+        keys += [F.when(F.size("sketch") >= i + BAND, F.struct(F.lit(f"b{i}").alias("t"), F.xxhash64(F.slice("sketch", i + 1, BAND)).alias("k"))) for i in range(0, 48, BAND)]
+    each = lambda df, name: df.select("kind", F.col("coord").alias(name), F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    return each(old, "o_coord").join(each(new, "n_coord"), ["kind", "key"]).select("o_coord", "n_coord").distinct()
+
+
+def pair_scores(old: DataFrame, new: DataFrame, use_sketch: bool = True, exhaustive: bool = False) -> DataFrame:
+    """Scores of candidate pairs of old and new functions, methods and classes of one kind.
+
+    A signal that wasn't measured is left out and the weights of the others are scaled up. exhaustive
+    compares all pairs of a kind, for small snapshots.
     """
-    side = lambda df, p: df.select("kind", *blocks, *[F.col(c).alias(f"{p}_{c}") for c in ("coord", "qualname", "path", "pos", "loc", "signature", "shape_hash", "sketch", "n_shingles", "body_hash")])
-    new = new.filter(F.col("kind").isin("function", "method", "class")) if not blocks else new
-    pairs = side(old, "o").join(side(new, "n"), ["kind", *blocks])
+    side = lambda df, p: df.select("kind", *[F.col(c).alias(f"{p}_{c}") for c in ("coord", "qualname", "path", "pos", "loc", "signature", "shape_hash", "sketch", "n_shingles", "body_hash")])
+    new = new.filter(F.col("kind").isin("function", "method", "class"))
+    if exhaustive:
+        pairs = side(old, "o").join(side(new, "n"), "kind")
+    else:
+        found = candidate_pairs(old, new, use_sketch)
+        pairs = found.join(side(old, "o"), "o_coord").join(side(new, "n").drop("kind"), "n_coord")
     short = lambda c: F.element_at(F.split(c, r"\."), -1)
     pairs = pairs.withColumn("name", sequence_ratio(short("o_qualname"), short("n_qualname"))).withColumn("sig", sequence_ratio("o_signature", "n_signature"))
     pairs = pairs.withColumn("jac", sketch_jaccard("o_sketch", "n_sketch") if use_sketch else F.lit(0.0))
@@ -147,19 +174,22 @@ def _assign(pairs: pd.DataFrame, use_sketch: bool) -> list[tuple]:
 RECORD = "kind string, old array<string>, new array<string>, author string, score double, restamp string"
 
 
-def scored_moves(pairs: DataFrame, use_sketch: bool = True, group: str = "kind") -> DataFrame:
-    """Greedy one-to-one assignment within each group, with splits and merges.
+def scored_moves(pairs: DataFrame, use_sketch: bool = True) -> DataFrame:
+    """Greedy one-to-one assignment with splits and merges, one connected component of pairs at a time.
 
     pairs: pair_scores(). Only pairs that can matter are sent to Python: at the score floor or
-    contained by half. Matching depends on its own order, so a group is matched in one task.
+    contained by half. Matching depends on its own order among pairs that share an entity, so a
+    component is matched in one task, and different components side by side.
     """
-    useful = pairs.filter((F.col("score") >= FLOOR) | (F.col("contained") >= CONTAINED) | (F.col("contained_back") >= CONTAINED))
+    useful = stored(pairs.filter((F.col("score") >= FLOOR) | (F.col("contained") >= CONTAINED) | (F.col("contained_back") >= CONTAINED)))
+    roots = components(useful.select(F.concat(F.lit("o"), "o_coord").alias("a"), F.concat(F.lit("n"), "n_coord").alias("b")))
+    useful = useful.join(roots.filter(F.startswith("id", F.lit("o"))).select(F.substr("id", F.lit(2)).alias("o_coord"), F.col("root").alias("__group")), "o_coord")
     columns = ["o_coord", "n_coord", "o_pos", "n_pos", "o_path", "n_path", "n_body_hash", "score", "name", "sig", "jac", "shape", "contained", "contained_back"]
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_assign(frame, use_sketch), columns=["kind", "old", "new", "author", "score", "restamp"])
 
-    return useful.select(F.col(group).alias("__group"), *columns).groupBy("__group").applyInPandas(match, RECORD)
+    return useful.select("__group", *columns).groupBy("__group").applyInPandas(match, RECORD)
 
 
 def detect(old: DataFrame, new: DataFrame, use_sketch: bool = True) -> DataFrame:

@@ -66,11 +66,11 @@ def memoised(current: DataFrame, previous: DataFrame, compute: Column, out: str)
 def history_summary(commits: DataFrame, by: str, order: list[Column], line: Column, shown: int = 8) -> DataFrame:
     """Of each file: how many commits, the first `shown` as text, and "(+N earlier)" for the rest."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    rows = commits.select(by, line.alias("line"), place.alias("place"))
-    first = F.array_sort(F.collect_list(F.when(F.col("place") <= shown, F.struct("place", "line"))))
-    text = F.array_join(F.transform(first, lambda x: x["line"]), "; ")
-    n = F.count("*")
-    return rows.groupBy(by).agg(n.alias("n_commits"), text.alias("text")).withColumn("text", F.when(F.col("n_commits") > shown, F.concat("text", F.lit(" (+"), (F.col("n_commits") - shown).cast("string"), F.lit(" earlier)"))).otherwise(F.col("text")))
+    # Cut before anything is collected: no task sorts or holds all commits of a file.
+    rows = commits.select(by, line.alias("line"), place.alias("place")).filter(F.col("place") <= shown)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "; ")
+    counted = commits.groupBy(by).agg(F.count("*").alias("n_commits"))
+    return counted.join(rows.groupBy(by).agg(text.alias("text")), by).withColumn("text", F.when(F.col("n_commits") > shown, F.concat("text", F.lit(" (+"), (F.col("n_commits") - shown).cast("string"), F.lit(" earlier)"))).otherwise(F.col("text")))
 
 
 def churn(spans: DataFrame, blame: DataFrame) -> DataFrame:

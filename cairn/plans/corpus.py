@@ -52,29 +52,33 @@ def minhash_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.array_join(F.transform("sketch", lambda v: v.cast("string")), ",").alias("sketch"))
 
 
-def near_pairs(spark: SparkSession, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """(a, b, jaccard): different texts whose sketches share a band and half of their values.
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, jaccard): b shares a band of its sketch with a, the first document that has that band.
 
-    Equal sketches are one: their first document stands for them, so copies don't pair up.
+    Every two documents that share a band are connected through its first one, so no link is lost and a
+    band of n documents gives n - 1 rows, not all pairs. Equal sketches are one: their first document
+    stands for them. The first of a band comes from a map-side aggregate.
     """
-    full = _sketched(spark, sf_dir, "documents", "doc_id").groupBy("sketch").agg(F.min("id").alias("id"))
+    full = graph.stored(_sketched(spark, sf_dir, "documents", "doc_id").groupBy("sketch").agg(F.min("id").alias("id")))
     width = T.SKETCH_SIZE // BANDS
-    bands = full.select("id", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.slice("sketch", b * width + 1, width))).alias("band", "key"))
-    a = bands.select("band", "key", F.col("id").alias("a"))
-    b = bands.select("band", "key", F.col("id").alias("b"))
-    pairs = a.join(b, ["band", "key"]).filter("a < b").select("a", "b").distinct()
+    bands = full.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.slice("sketch", b * width + 1, width)))).alias("band", "key"))
+    first = bands.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    pairs = bands.join(first, ["band", "key"]).filter("a < id").select("a", F.col("id").alias("b")).distinct()
     sides = [full.select(F.col("id").alias(s), F.col("sketch").alias(f"s{s}")) for s in ("a", "b")]
-    scored = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", T.sketch_jaccard("sa", "sb").alias("jaccard"))
-    return scored.filter(F.col("jaccard") >= least)
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", T.sketch_jaccard("sa", "sb").alias("jaccard"))
 
 
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each item its sketch finds in a document; sketches meet value by value."""
+    """How much of each item its sketch finds in a document; sketches meet value by value.
+
+    The items' values are broadcast up to a million of them (some 50 MB), else both sides are shuffled.
+    """
     sides = []
     for name, id_ in (("benchmark", "item_id"), ("documents", "doc_id")):
         rows = _sketched(spark, sf_dir, name, id_)
         sides.append(rows.select(F.col("id").alias(id_), F.col("n").alias(f"n_{id_}"), F.posexplode("sketch").alias("place", "value")))
-    equal = sides[0].join(sides[1], ["place", "value"]).groupBy("item_id", "doc_id", "n_item_id", "n_doc_id").agg(F.count("*").alias("n_equal"))
+    items = graph.stored(sides[0])
+    equal = sides[1].join(F.broadcast(items) if items.count() <= 1_000_000 else items, ["place", "value"]).groupBy("item_id", "doc_id", "n_item_id", "n_doc_id").agg(F.count("*").alias("n_equal"))
     j = F.col("n_equal").cast("double") / F.lit(float(T.SKETCH_SIZE))
     return equal.select("item_id", "doc_id", "n_equal", T.sketch_containment(j, "n_item_id", "n_doc_id").alias("containment"))
 
@@ -164,9 +168,9 @@ SQL = {
     "near_pairs": f"""WITH {_sketch_sql('documents', 'doc_id')},
 f AS (SELECT sketch, min(doc_id) AS id FROM s_documents GROUP BY sketch),
 b AS (SELECT id, i, sketch[i * 4 + 1:i * 4 + 4] AS k FROM f, range({BANDS}) r(i)),
-p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.i = y.i AND x.k = y.k AND x.id < y.id),
+p AS (SELECT DISTINCT a, id AS b FROM (SELECT id, min(id) OVER (PARTITION BY i, k) AS a FROM b) WHERE a < id),
 j AS (SELECT a, b, len(list_filter(list_zip(x.sketch, y.sketch), lambda z: z[1] = z[2]))::DOUBLE / 48 AS jaccard FROM p JOIN f x ON x.id = a JOIN f y ON y.id = b)
-SELECT a, b, jaccard FROM j WHERE jaccard >= 0.5""",
+SELECT a, b, jaccard FROM j""",
     "benchmark_containment": f"""WITH {_sketch_sql('documents', 'doc_id')}, {_sketch_sql('benchmark', 'item_id')},
 d AS (SELECT doc_id, n, generate_subscripts(sketch, 1) AS p, unnest(sketch) AS v FROM s_documents),
 i AS (SELECT item_id, n, generate_subscripts(sketch, 1) AS p, unnest(sketch) AS v FROM s_benchmark),

@@ -53,7 +53,7 @@ def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases emit and views consume the event of their property."""
     kind = F.when(F.col("event_type") == "purchase", "emits").when(F.col("event_type") == "view", "consumes")
     edges = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("src"), F.concat(F.lit("EVT:"), F.get_json_object("props", "$.k")).alias("dst"), kind.alias("kind"))
-    return graph.event_pairs(edges).select("event", F.array_join("emitters", ",").alias("emitters"), F.array_join("consumers", ",").alias("consumers"))
+    return graph.event_sides(edges)
 
 
 def fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,8 +178,7 @@ e3 AS (SELECT seed, l_partkey, max(1.0::DOUBLE * t) AS c FROM e2 JOIN l ON l_sup
 e4 AS (SELECT seed, l_orderkey, max(c * u) AS c FROM e3 JOIN l USING (l_partkey) GROUP BY ALL)
 SELECT seed, 'N' || n_nationkey AS coord, 1.0::DOUBLE AS confidence, 1 AS depth FROM e1 UNION ALL SELECT seed, 'S' || s_suppkey, 1.0, 2 FROM e2
 UNION ALL SELECT seed, 'P' || l_partkey, c, 3 FROM e3 UNION ALL SELECT seed, 'O' || l_orderkey, c, 4 FROM e4""",
-    "event_pairs": """WITH e AS (SELECT DISTINCT 'EVT:' || json_extract_string(props, '$.k') AS event, user_id::VARCHAR AS u, event_type AS k FROM events WHERE event_type IN ('purchase', 'view'))
-SELECT event, coalesce(string_agg(u, ',' ORDER BY u) FILTER (WHERE k = 'purchase'), '') AS emitters, coalesce(string_agg(u, ',' ORDER BY u) FILTER (WHERE k = 'view'), '') AS consumers FROM e GROUP BY event""",
+    "event_pairs": """SELECT DISTINCT 'EVT:' || json_extract_string(props, '$.k') AS event, CASE event_type WHEN 'purchase' THEN 'emits' ELSE 'consumes' END AS side, user_id::VARCHAR AS coord FROM events WHERE event_type IN ('purchase', 'view')""",
     "fan_in_out": """WITH o AS (SELECT 'S' || l_suppkey AS c, count(*) AS n FROM lineitem GROUP BY 1),
 i AS (SELECT 'P' || l_partkey AS c, count(*) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1)
 SELECT coalesce(o.c, i.c) AS coord, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM o FULL JOIN i ON o.c = i.c""",

@@ -169,3 +169,44 @@ def test_the_log_as_a_stream(spark, tmp_path):
     for _ in range(2):
         logs.merge(batch, stored, 9)
     assert logs.stored_log(spark, stored).filter("pos = 5").count() == 1
+
+
+def snapshots(spark, n=40):
+    """Renames, moves, body changes, a split, a merge, deletions and additions of small functions."""
+    import random
+
+    rng = random.Random(3)
+    shape = "coord string, qualname string, kind string, path string, pos int, loc int, signature string, body_hash string, logic_hash string, shape_hash string, sketch array<bigint>, n_shingles int"
+    verbs, nouns = ["load", "save", "check", "merge", "split", "count"], ["row", "page", "item", "user", "part", "key", "blob"]
+    old, new = [], []
+    for i in range(n):
+        name, sk = f"{rng.choice(verbs)}_{rng.choice(nouns)}{i}", [rng.randrange(1 << 20) for _ in range(48)]
+        row = [f"A{i}", f"m.{name}", "function", "m.py", i, rng.randint(3, 30), f"({rng.choice(nouns)})", f"b{i}", f"l{i}", f"s{i % 7}", sk, 50]
+        old.append(tuple(row))
+        kind = i % 5
+        near = [v if rng.random() < 0.8 else rng.randrange(1 << 20) for v in sk]
+        if kind == 0:
+            new.append((f"B{i}", f"m.{rng.choice(verbs)}_{rng.choice(nouns)}{i}", "function", "m.py", i, row[5] + 1, row[6], f"x{i}", f"y{i}", row[9], near, 50))
+        elif kind == 1:
+            new.append((f"B{i}", f"n.{name}", "function", "n.py", i, row[5], row[6], f"x{i}", f"y{i}", f"t{i}", near, 48))
+        elif kind == 2:
+            for k in (0, 1):
+                new.append((f"B{i}_{k}", f"m.part{k}_{i}", "function", "m.py", i, max(1, row[5] // 2), "()", f"x{i}{k}", f"y{i}{k}", f"u{i}{k}", [v if j % 2 == k or rng.random() < 0.4 else rng.randrange(1 << 20) for j, v in enumerate(sk)], 25))
+    return spark.createDataFrame(old, shape), spark.createDataFrame(new, shape)
+
+
+def test_blocked_matching_gives_what_all_pairs_give(spark):
+    old, new = snapshots(spark)
+    key = lambda r: (r["kind"], tuple(r["old"]), tuple(r["new"]), r["author"])
+    blocked = {key(r) for r in lineage.scored_moves(lineage.pair_scores(old, new)).collect()}
+    every = {key(r) for r in lineage.scored_moves(lineage.pair_scores(old, new, exhaustive=True)).collect()}
+    sure = lambda x: {r for r in x if r[3] == "auto"}
+    assert sure(blocked) == sure(every) and len(sure(every)) >= 10
+    assert {r[0] for r in every} >= {"renamed", "moved", "split"}
+    split = {r[1] for r in blocked if r[0] == "split"}
+    assert split and split <= {r[1] for r in every if r[0] == "split"}
+
+
+def test_graph_components(spark):
+    pairs = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(20)] + [("x", "y"), ("z", "z")], "a string, b string")
+    assert {r["id"]: r["root"] for r in graph.components(pairs).collect()} == {**{f"n{i:02}": "n00" for i in range(21)}, "x": "x", "y": "x", "z": "z"}
