@@ -142,3 +142,18 @@ def map_label(path: Column | str, project: Column | str | None = None) -> Column
     """A map's label: the project's name if it has one, else its folder's."""
     folder = F.element_at(F.split(F.regexp_replace(F.col(path) if isinstance(path, str) else path, "/+$", ""), "/"), -1)
     return folder if project is None else F.coalesce(F.nullif(F.trim(F.col(project) if isinstance(project, str) else project), F.lit("")), folder)
+
+
+def summary(entities: DataFrame) -> DataFrame:
+    """Entities by kind, suffix and whether they are of a test: how many, the hardest, and all complexity."""
+    suffix = F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    return entities.groupBy("kind", suffix.alias("suffix"), is_test_path("path").alias("is_test")).agg(F.count("*").alias("n"), F.max("complexity").alias("hardest"), F.sum("complexity").alias("complexity"))
+
+
+def attention(entities: DataFrame, judged: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(item, coord, detail): what may be wrong, entity by entity: comments that no one has confirmed, stale notes, documents behind."""
+    answered = knowledge.rot_answered(judged).filter("answered").select("coord")
+    rot = entities.filter((F.col("kind") != "module") & F.coalesce(F.col("comment_rot"), F.lit(False))).join(answered, "coord", "left_anti").select(F.lit("comment rot").alias("item"), "coord", F.lit("").alias("detail"))
+    stale = knowledge.decisive_stale(knowledge.for_display(judged)).select(F.lit("stale note").alias("item"), "coord", F.col("channel").alias("detail"))
+    behind = bindings.filter(~F.col("fresh")).select(F.lit("document behind").alias("item"), "coord", F.col("doc").alias("detail"))
+    return rot.unionByName(stale).unionByName(behind)

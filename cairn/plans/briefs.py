@@ -55,9 +55,21 @@ def before_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("renamed", "moved", "split", "merged", "split"))), F.col("n_regionkey") + 1)
     ids = lambda p: F.array(_name(p, "n_nationkey"))
     moves = nation.select(F.col("n_nationkey").alias("seq"), kind.alias("kind"), ids("X").alias("old"), ids("N").alias("new")).unionByName(nation.select((F.col("n_nationkey") + 100).alias("seq"), F.lit("split").alias("kind"), ids("Y").alias("old"), ids("X").alias("new")))
-    bindings = table(spark, sf_dir, "documents").groupBy(F.concat(F.lit("docs/"), "source").alias("doc"), F.concat(F.lit("N"), (F.col("doc_id") % 25).cast("string")).alias("coord")).agg((F.sum("n_chars") % 2 == 0).alias("fresh"))
     unresolved = table(spark, sf_dir, "region").select(_name("N", "r_regionkey").alias("coord"), F.col("r_regionkey").cast("long").alias("n_unresolved"))
-    return B.before_edit(nation.select(_name("N", "n_nationkey").alias("coord")), _entities(spark, sf_dir), _edges(spark, sf_dir), log, accepted, moves, bindings, unresolved)
+    return B.before_edit(nation.select(_name("N", "n_nationkey").alias("coord")), _entities(spark, sf_dir), _edges(spark, sf_dir), log, accepted, moves, _bindings(spark, sf_dir), unresolved)
+
+
+def _bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.concat(F.lit("docs/"), "source").alias("doc"), F.concat(F.lit("N"), (F.col("doc_id") % 25).cast("string")).alias("coord")).agg((F.sum("n_chars") % 2 == 0).alias("fresh"))
+
+
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.summary(_entities(spark, sf_dir))
+
+
+def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, accepted = _log(spark, sf_dir)
+    return B.attention(_entities(spark, sf_dir), knowledge.with_staleness(log, accepted), _bindings(spark, sf_dir))
 
 
 def verify_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +241,7 @@ def budget_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.budgeted(part, [F.col("p_retailprice").desc(), F.col("p_partkey")], "p_size", 500)
 
 
-QUERIES = {f.__name__: f for f in (before_edit, verify_change, name_hits, show_edges, ranked_notes, knowledge_migrate, knowledge_census, knowledge_reaffirm, knowledge_channels, rot_answered, knowledge_at_risk, knowledge_inherited, lineage_ancestry, log_replay, dig_history, bounded_evidence, map_lag, doc_bindings, scalars, resolve_every_tier, budget_cards)}
+QUERIES = {f.__name__: f for f in (before_edit, summary, attention, verify_change, name_hits, show_edges, ranked_notes, knowledge_migrate, knowledge_census, knowledge_reaffirm, knowledge_channels, rot_answered, knowledge_at_risk, knowledge_inherited, lineage_ancestry, log_replay, dig_history, bounded_evidence, map_lag, doc_bindings, scalars, resolve_every_tier, budget_cards)}
 
 _LG = """l AS (SELECT 'N' || (conv_id % 25) AS coord, CASE WHEN role = 'user' THEN 'notes' WHEN turn > 4 THEN 'confirm' ELSE 'docs' END AS channel, conv_id * 100 + turn AS pos, text, substr(md5(text), 1, 16) AS stamp, contains(text, '.' || chr(10)) AS ask FROM conversations),
 a AS (SELECT coord, [arg_max(stamp, pos), arg_min(stamp, pos), max(stamp)] AS ok FROM l GROUP BY coord),
@@ -240,6 +252,11 @@ d AS (SELECT *, row_number() OVER (PARTITION BY coord, channel ORDER BY pos DESC
 _WHY = ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in (("k >= 15", "hard"), ("callers >= 5 AND cg = callers", "wide-guessed"), ("callers >= 5 AND cg < callers", "wide"), ("low_b", "lower-bound"), ("has_stale", "stale-notes"), ("rot", "comment-rot"), ("docs_changed > 0", "document-behind"), ("rk IN (0, 1)", "recently-moved")))
 
 SQL = {
+    "summary": """WITH e AS (SELECT 'class' AS kind, '.py' AS suffix, false AS is_test, n_nationkey AS x FROM nation UNION ALL SELECT 'function', '.go', s_acctbal < 0, 1 FROM supplier UNION ALL SELECT 'function', '.py', c_mktsegment = 'FURNITURE', 2 FROM customer UNION ALL SELECT 'function', '.py', o_orderstatus = 'P', 1 FROM orders)
+SELECT kind, suffix, is_test, count(*) AS n, max(x)::INTEGER AS hardest, sum(x)::BIGINT AS complexity FROM e GROUP BY ALL""",
+    "attention": f"""WITH {_LG}, an AS (SELECT coord, bool_or(NOT stale) AS answered FROM s WHERE channel = 'confirm' GROUP BY coord)
+SELECT 'comment rot' AS item, 'N' || n_nationkey AS coord, '' AS detail FROM nation LEFT JOIN an ON coord = 'N' || n_nationkey WHERE n_regionkey < 3 AND NOT coalesce(answered, false) UNION ALL SELECT 'stale note', coord, channel FROM d WHERE stale AND place = 1
+UNION ALL SELECT 'document behind', coord, doc FROM (SELECT 'docs/' || source AS doc, 'N' || (doc_id % 25) AS coord, sum(n_chars) % 2 = 0 AS fresh FROM documents GROUP BY 1, 2) WHERE NOT fresh""",
     "before_edit": f"""WITH {_LG},
 n AS (SELECT n_nationkey AS k, n_regionkey AS rk FROM nation),
 fan AS (SELECT o_custkey, count(*) AS f FROM orders GROUP BY 1),
