@@ -27,11 +27,6 @@ def prepared(entities: DataFrame) -> DataFrame:
     return out if "is_test" in entities.columns else out.withColumn("is_test", is_test_path("path"))
 
 
-def _only(df: DataFrame, by: str, order: list | None = None) -> DataFrame:
-    """One row for each key that has exactly one candidate: (key, coord)."""
-    return df.groupBy(by).agg(F.count_distinct("coord").alias("n"), F.min("coord").alias("coord")).filter("n = 1").select(by, "coord")
-
-
 def resolve(refs: DataFrame, entities: DataFrame) -> DataFrame:
     """(ref, coord or null, tier, n_candidates) of each distinct ref.
 
@@ -43,24 +38,23 @@ def resolve(refs: DataFrame, entities: DataFrame) -> DataFrame:
     ents = prepared(entities).select("coord", "qualname", "path", "short", "base_q", "is_test", arity_of("qualname").alias("arity"))
     parts = names.withColumn("file", F.regexp_extract("ref", r"^(.*\.[A-Za-z]+):(?!\d+$)(.+)$", 1)).withColumn("name", F.regexp_extract("ref", r"^(.*\.[A-Za-z]+):(?!\d+$)(.+)$", 2))
     filed = parts.filter("file <> ''").withColumn("short", short_of("name")).join(ents, "short").filter(F.endswith("path", F.col("file")) & (F.endswith("base_q", base_of("name"))))
-    best = F.min(F.struct(F.length("qualname").alias("n"), "qualname", "coord"))
-    tier_file = filed.groupBy("ref").agg(best.alias("b")).select("ref", F.col("b.coord").alias("coord"), F.lit(0).alias("t"))
-    tier_id = names.join(ents.select(F.col("coord").alias("ref")).distinct(), "ref").select("ref", F.col("ref").alias("coord"), F.lit(1).alias("t"))
+    by_id = names.join(ents.select(F.col("coord").alias("ref")).distinct(), "ref")
     exact = names.join(ents.select(F.col("qualname").alias("ref"), "coord"), "ref")
-    tier_name = exact.groupBy("ref").agg(F.min("coord").alias("coord")).select("ref", "coord", F.lit(2).alias("t"))
-    found = names.withColumn("short", short_of("ref")).withColumn("base", base_of("ref")).withColumn("want", arity_of("ref")).join(ents, "short")
-    found = stored(found.filter(F.endswith("base_q", F.col("base"))).select("ref", "coord", "want", "arity", "is_test"))
-    tier_one = _only(found, "ref").withColumn("t", F.lit(3))
-    tier_arity = _only(found.filter("want = arity"), "ref").withColumn("t", F.lit(4))
-    tier_source = _only(found.filter(~F.col("is_test")), "ref").withColumn("t", F.lit(5))
-    tiers = tier_file
-    for t in (tier_id, tier_name, tier_one, tier_arity, tier_source):
-        tiers = tiers.unionByName(t)
-    won = tiers.groupBy("ref").agg(F.min(F.struct("t", "coord")).alias("w"))
-    n = found.groupBy("ref").agg(F.count_distinct("coord").alias("n_candidates"))
-    label = F.element_at(F.array(*map(F.lit, ("file", "id", "name", "unique", "arity", "source"))), F.col("w.t") + 1)
-    joined = names.join(won, "ref", "left").join(n, "ref", "left")
-    return joined.select("ref", F.col("w.coord").alias("coord"), F.when(F.col("w").isNotNull(), label).alias("tier"), F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"))
+    found = names.withColumn("short", short_of("ref")).withColumn("base", base_of("ref")).withColumn("want", arity_of("ref")).join(ents, "short").filter(F.endswith("base_q", F.col("base")))
+    nothing, no = F.lit(None).cast("string"), F.lit(False)
+    hit = lambda df, kind, coord, qualname=nothing, fits=no, test=no: df.select("ref", F.lit(kind).alias("kind"), coord.alias("coord"), qualname.alias("qualname"), fits.alias("fits"), test.alias("is_test"))
+    coord = F.col("coord")
+    hits = hit(names, "ref", nothing).unionByName(hit(filed, "file", coord, F.col("qualname"))).unionByName(hit(by_id, "id", F.col("ref"))).unionByName(hit(exact, "name", coord))
+    # Candidates meet in one aggregate a reference: no tier is joined back, so none has to fit in a broadcast.
+    hits = stored(hits.unionByName(hit(found, "found", coord, nothing, F.coalesce(F.col("want") == F.col("arity"), no), F.coalesce("is_test", F.lit(True)))))
+    of = lambda kind, more=F.lit(True): F.when((F.col("kind") == kind) & more, coord)
+    first = F.min(F.when(F.col("kind") == "file", F.struct(F.length("qualname").alias("n"), "qualname", "coord"))).alias("file")
+    sides = {"unique": of("found"), "arity": of("found", F.col("fits")), "source": of("found", ~F.col("is_test"))}
+    ends = [f(c).alias(f"{f.__name__}_{k}") for k, c in sides.items() for f in (F.min, F.max)]
+    won = hits.groupBy("ref").agg(first, F.min(of("id")).alias("id"), F.min(of("name")).alias("name"), *ends, F.count_distinct(of("found")).alias("n_candidates"))
+    tiers = {"file": F.col("file.coord"), "id": F.col("id"), "name": F.col("name")} | {k: F.when(F.col(f"min_{k}") == F.col(f"max_{k}"), F.col(f"min_{k}")) for k in sides}
+    label = F.coalesce(*[F.when(c.isNotNull(), F.lit(k)) for k, c in tiers.items()])
+    return won.select("ref", F.coalesce(*tiers.values()).alias("coord"), label.alias("tier"), F.col("n_candidates").cast("long").alias("n_candidates"))
 
 
 def vetoes(pairs: DataFrame, entities: DataFrame, builtins: DataFrame) -> DataFrame:
@@ -166,7 +160,7 @@ def build_edges(refs: DataFrame, entities: DataFrame, bases: DataFrame, builtins
     one = ents.select("qualname", "coord")
     inherits = bases.join(one.select(F.col("qualname").alias("cls"), F.col("coord").alias("src")), "cls").join(one.select(F.col("qualname").alias("base"), F.col("coord").alias("dst")), "base")
     edges = resolved.unionByName(events).unionByName(contains).unionByName(fixed(inherits, "inherits"))
-    return edges.filter("src <> dst").distinct(), bad.groupBy("veto").agg(F.count("*").alias("n"))
+    return stored(edges.filter("src <> dst").distinct()), bad.groupBy("veto").agg(F.count("*").alias("n"))
 
 
 def unresolved_calls(refs: DataFrame, entities: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import briefing, evidence, graph, harvest, knowledge, lineage, rank, verify
+from cairn.operators import briefing, evidence, graph, harvest, knowledge, lineage, rank, resolve, verify
 from cairn.plans import registry
 from cairn.streaming import logs
 
@@ -210,3 +210,15 @@ def test_blocked_matching_gives_what_all_pairs_give(spark):
 def test_graph_components(spark):
     pairs = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(20)] + [("x", "y"), ("z", "z")], "a string, b string")
     assert {r["id"]: r["root"] for r in graph.components(pairs).collect()} == {**{f"n{i:02}": "n00" for i in range(21)}, "x": "x", "y": "x", "z": "z"}
+
+
+def test_resolve_and_stored_never_trust_a_guessed_size(spark, tmp_path):
+    """A small file that many references are made of: no side of it goes to the driver because of the file's size."""
+    spark.range(40_000).select(F.concat(F.lit("m.w"), F.col("id").cast("string")).alias("q")).write.parquet(str(tmp_path / "q"))
+    ents = spark.read.parquet(str(tmp_path / "q")).select(F.concat(F.lit("C"), "q").alias("coord"), F.col("q").alias("qualname"), F.lit("src/a.py").alias("path"))
+    refs = ents.select(F.explode(F.array(*[F.concat(F.lit(f"{k}."), "qualname") for k in range(3)], F.col("qualname"))).alias("ref"))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    out = resolve.resolve(refs, ents)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["tier"], r["count"]) for r in out.groupBy("tier").count().collect()} == {("name", 40_000), (None, 120_000)}
+    assert {k: spark.conf.get(k, None) for k in before} == before
