@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import graph, resolve
 from ..sources import code as C
 from .corpus import table
@@ -45,13 +44,16 @@ def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of the names of documents, orders, parts, customers and events; names whose six digits clash are salted."""
+    """Ids of the names of documents, orders, parts, customers and events; names whose digits clash are salted.
+
+    Six digits up to 8.4 million names; more names than that can't all have six and get longer ids.
+    """
     sides = [(n, k) for n, k in (("documents", "doc_id"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("customer", "c_custkey"), ("events", "event_id"))]
     names = None
     for place, (name, key) in enumerate(sides):
         rows = table(spark, sf_dir, name).select(F.concat(F.lit(f"{name}."), F.col(key).cast("string")).alias("name"), (F.col(key) + F.lit(place * 10**12)).alias("pos"))
         names = rows if names is None else names.unionByName(rows)
-    return C.assign_ids(names, "name", "pos").select("name", "coord", (F.col("coord") != T.coord_id("name")).alias("salted"))
+    return C.assign_ids(names, "name", "pos").select("name", "coord", (~F.startswith(F.concat(F.lit("C-"), F.sha2("name", 256)), F.col("coord"))).alias("salted"))
 
 
 QUERIES = {f.__name__: f for f in (code_entities, code_references, code_edges, unique_ids)}

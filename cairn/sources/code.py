@@ -9,17 +9,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import source
 from ..functions import text as T
-from ..operators.graph import stored
+from ..operators.graph import near, stored
 from . import parsers
 
 SKIPPED = ("node_modules", "dist", "build", "vendor", ".git", "__pycache__", ".next", "coverage")
 #: Raised when parsers or digests change: stored rows of another schema aren't reused.
 SCHEMA = 1
+#: Hex digits of an id, as long as they do.
+DIGITS = 6
 _COMMENT = pa.struct([("line", pa.int32()), ("text", pa.string()), ("kind", pa.string()), ("h", pa.string())])
 _FIELDS = [
     ("what", pa.string()), ("path", pa.string()), ("sha", pa.string()), ("pos", pa.int32()), ("kind", pa.string()), ("qualname", pa.string()), ("lineno", pa.int32()), ("end_lineno", pa.int32()), ("signature", pa.string()),
@@ -102,24 +104,32 @@ def references(parsed: DataFrame) -> DataFrame:
     return parsed.filter("what = 'edge'").select(*REFERENCE)
 
 
-def assign_ids(names: DataFrame, name: str, order: str, digits: int = 6) -> DataFrame:
+def assign_ids(names: DataFrame, name: str, order: str, digits: int | None = None) -> DataFrame:
     """names with `coord`, unique: of names whose ids clash the first in `order` keeps it, the others are salted with it.
 
     As if names came one by one: a name takes the first free id of its own sequence of salts. Each
-    round moves the losers of a clash on, and those whose id an earlier name now claims; ids are
-    counted, so a space that is too small is refused.
+    round moves the losers of a clash on, and those whose id an earlier name now claims; after the first
+    only ids that moved names claim are looked at. Ids have six digits unless the caller says how many;
+    where the names would fill more than half of that space, as many as leave fifteen sixteenths free, so
+    that rounds stay few. A number of digits that the caller gave and that is too small is refused.
     """
     n = names.count()
-    if n * 2 > 16**digits:
+    if digits and n * 2 > 16**digits:
         raise ValueError(f"{n} names don't fit ids of {digits} hex digits")
-    now = stored(names.withColumn("coord", T.coord_id(F.col(name), None, digits)))
-    while True:
-        first = now.groupBy("coord").agg(F.min(F.struct(order, name)).alias("first"), F.count("*").alias("k")).filter("k > 1")
-        lost = stored(now.join(F.broadcast(first) if first.limit(100_001).count() <= 100_000 else first, "coord").filter(F.struct(order, name) != F.col("first")).select(*names.columns, "coord"))
-        if lost.isEmpty():
-            return now
-        again = lost.withColumn("coord", T.coord_id(F.col(name), F.col("coord"), digits))
-        now = stored(now.join(lost.select(name, order), [name, order], "left_anti").select(*names.columns, "coord").unionByName(again))
+    if not digits:
+        digits = DIGITS if n * 2 <= 16**DIGITS else next(d for d in range(DIGITS + 1, 65) if n * 16 <= 16**d)
+    cols, key = names.columns, [name, order]
+    late = F.rank().over(Window.partitionBy("coord").orderBy(order, name)) > 1
+    again = lambda df: df.filter("late").select(*cols, T.coord_id(F.col(name), F.col("coord"), digits).alias("coord"))
+    rows = stored(names.withColumn("coord", T.coord_id(F.col(name), None, digits)).withColumn("late", late))
+    first, moved = rows.filter("not late").drop("late"), stored(again(rows))
+    fresh = moved
+    while not fresh.isEmpty():
+        claimed = near(stored(fresh.select("coord").distinct()))
+        rivals = first.join(claimed, "coord", "left_semi").join(near(moved.select(*key)), key, "left_anti").select(*cols, "coord").unionByName(moved.join(claimed, "coord", "left_semi").select(*cols, "coord"))
+        fresh = stored(again(rivals.withColumn("late", late)))
+        moved = stored(moved.join(near(fresh.select(*key)), key, "left_anti").select(*cols, "coord").unionByName(fresh))
+    return first.join(near(moved.select(*key)), key, "left_anti").select(*cols, "coord").unionByName(moved)
 
 
 def entities(parsed: DataFrame, before: DataFrame | None = None) -> DataFrame:

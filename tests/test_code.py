@@ -1,5 +1,7 @@
 """Scanning and parsing a small tree of four languages; digests; identity."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,17 @@ def test_registry_takes_other_languages(spark):
         del P.REGISTRY[".toy"]
     assert sorted(r["what"] for r in rows if r["path"] == "a.toy") in (["edge", "entity"], ["error"])
     assert [r["error"] for r in rows if r["path"] == "b.zig"] == ["parser unavailable: .zig"]
+
+
+def test_more_names_than_ids_of_the_usual_length(spark, monkeypatch):
+    monkeypatch.setattr(C, "DIGITS", 2)
+    df = spark.range(200).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.col("id").alias("pos"))
+    found = {r["coord"]: r["name"] for r in C.assign_ids(df, "name", "pos").collect()}
+    assert len(found) == 200 and {len(c) for c in found} == {len("C-") + 3}
+    taken = {}
+    for k in range(200):
+        c = "C-" + hashlib.sha256(f"n{k}".encode()).hexdigest()[:3]
+        while c in taken:
+            c = "C-" + hashlib.sha256(f"n{k}{c}".encode()).hexdigest()[:3]
+        taken[c] = f"n{k}"
+    assert found == taken
