@@ -32,12 +32,12 @@ def code_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.references(C.parse(C.kept(sources(spark, sf_dir))))
+    return C.references(C.parse(C.kept(sources(spark, sf_dir)), whats=("edge",)))
 
 
 def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the generated modules, counted by kind and how they were resolved."""
-    parsed = graph.stored(C.parse(C.kept(sources(spark, sf_dir))))
+    parsed = graph.stored(C.parse(C.kept(sources(spark, sf_dir)), wanted=("param_types",)))
     ents = graph.stored(C.entities(parsed))
     edges, _ = resolve.build_edges(C.references(parsed).drop("path"), ents, resolve.class_bases(C.class_names(parsed)), C.builtins_table(spark))
     return edges.groupBy("kind", "resolution", "confidence").agg(F.count("*").alias("n"))

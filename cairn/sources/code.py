@@ -6,7 +6,8 @@ gives a row in `errors` and the rest go on. Parsed rows are reused by the digest
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,37 +55,72 @@ def kept(files: DataFrame) -> DataFrame:
     return files.filter(plain & suffix.isin(*parsers.REGISTRY) & ~packed)
 
 
-def _rows(path: str, content: str, family: str) -> list[dict]:
+def _blocks(path: str, content: str, family: str, whats: Collection[str], modules: bool, wanted: Collection[str]) -> Iterator[list[dict]]:
+    """Rows of one file, piece by piece; what can't be read raises."""
     suffix = "." + path.rsplit(".", 1)[-1]
-    sha = source.digest(content)
-    if suffix not in parsers.REGISTRY:
-        return [{"what": "error", "path": path, "sha": sha, "error": f"parser unavailable: {suffix}"}]
     module = path.rsplit(".", 1)[0].replace("/", ".")
     if suffix == ".py" and module.endswith(".__init__"):
         module = module[: -len(".__init__")]
-    try:
-        found, refs, bases = parsers.REGISTRY[suffix][1](content, module)
+    parser = parsers.REGISTRY[suffix][1]
+    long, pos = parser is parsers.python and len(content) > parsers.PIECE, 0
+    for found, refs, bases in parsers.python_pieces(content, module) if parser is parsers.python else [parser(content, module)]:
         out = []
-        for pos, e in enumerate(found):
+        for e in found:
             body, short = e.pop("body"), e.pop("short")
-            notes, (types, returns), (sketch, n) = source.comments(body, suffix), source.annotations(body) if suffix == ".py" else ({}, ""), source.sketch(body, family)
-            out.append(e | {"what": "entity", "pos": pos, "body_hash": source.body_hash(body), "shape_hash": source.shape_hash(body, short), "logic_hash": source.logic_hash(body), "comment_hash": source.comment_hash(notes), "param_types": list(types.items()), "return_type": returns, "comments": notes, "loc": body.count("\n") + 1, "complexity": source.complexity(body, suffix), "sketch": sketch, "n_shingles": n})
-        out += [r | {"what": "edge"} for r in refs] + [b | {"what": "base"} for b in bases]
-    except Exception as e:  # noqa: BLE001 - one file's failure is a row, whatever it is
-        out = [{"what": "error", "error": f"{type(e).__name__}: {e}"}]
-    return [r | {"path": path, "sha": sha} for r in out]
-
+            if "entity" in whats and (modules or e["kind"] != "module"):
+                if long and e["kind"] == "module":
+                    measured = source.measures_of_pieces(((line, text) for line, text, _ in parsers.pieces(body)), family, wanted) if wanted else {}
+                else:
+                    measured = source.measures(body, short, suffix, family, wanted)
+                out.append(e | measured | {"what": "entity", "pos": pos})
+            pos += 1
+        if "edge" in whats:
+            out += [r | {"what": "edge"} for r in refs]
+        if "base" in whats:
+            out += [b | {"what": "base"} for b in bases]
+        yield out
+
+
+def _batches(path: str, content: str, schema: pa.Schema, *how) -> Iterator[pa.RecordBatch]:
+    """Rows of one file in batches, or its error alone: those of a long file wait on disk until it's through."""
+    sha, names = source.digest(content), schema.names
+
+    def made(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} | {"path": path, "sha": sha} for r in rows[i : i + 1000]], schema)
 
-def parse(files: DataFrame, family: str = "blake2b6") -> DataFrame:
-    """Rows of what files (path, content) hold: entities, edges, bases and errors in one table."""
+    suffix = "." + path.rsplit(".", 1)[-1]
+    if suffix not in parsers.REGISTRY:
+        yield from made([{"what": "error", "error": f"parser unavailable: {suffix}"}])
+        return
+    with tempfile.TemporaryFile() as kept:
+        try:
+            with pa.ipc.new_stream(kept, schema) as sink:
+                for rows in _blocks(path, content, *how):
+                    for batch in made(rows):
+                        sink.write_batch(batch)
+        except Exception as e:  # noqa: BLE001 - one file's failure is a row, whatever it is
+            yield from made([{"what": "error", "error": f"{type(e).__name__}: {e}"}])
+            return
+        kept.seek(0)
+        yield from pa.ipc.open_stream(kept)
+
+
+def parse(files: DataFrame, family: str = "blake2b6", whats: Collection[str] = ("entity", "edge", "base"), modules: bool = True, wanted: Collection[str] = source.MEASURES) -> DataFrame:
+    """Rows of what files (path, content) hold: entities, edges, bases and errors in one table.
+
+    Only rows of `whats` are made (of entities the modules only with `modules`), and only measures that
+    are `wanted` are taken; other columns are null. A file is one task's, whatever others there are.
+    """
     schema = pa.schema(_FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n, _ in _FIELDS} for r in _rows(path, content or "", family)], schema)
+            for i in range(batch.num_rows):
+                yield from _batches(batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or "", schema, family, whats, modules, wanted)
 
-    return files.select("path", "content").mapInArrow(run, PARSED)
+    spread = files.select("path", "content").repartition(8 * files.sparkSession.sparkContext.defaultParallelism, "path")
+    return spread.mapInArrow(run, PARSED)
 
 
 def parse_changed(files: DataFrame, before: DataFrame | None, family: str = "blake2b6") -> DataFrame:

@@ -198,3 +198,59 @@ def test_more_names_than_ids_of_the_usual_length(spark, monkeypatch):
             c = "C-" + hashlib.sha256(f"n{k}{c}".encode()).hexdigest()[:3]
         taken[c] = f"n{k}"
     assert found == taken
+
+
+_LONG = '''"""About it."""
+import os
+from x import y as z
+# first
+def f(a: int) -> str:
+    """Says."""
+    return z.run(a) if a else os.getcwd()   # inner
+
+TEXT = """
+class NotOne:
+def neither(): (
+"""
+@deco
+class A(B):
+    x = 1
+
+    class I:
+        def g(self): self.h(); "a".join([])
+    def h(self):
+        s = """one
+
+   two"""
+        for i in s: pass
+
+@deco(
+    1)
+async def f(b: A = None): emit("e")
+if f:
+    def f(): pass
+else:
+    class A: pass
+def last(): y(); b.h()
+'''
+
+
+@pytest.mark.parametrize("text", [_LONG, _LONG.split("\n", 1)[1], "\n# only\n" + _LONG[_LONG.index("@deco") :], _LONG * 3, "def f(a: int):\r\n    'd'\r\nclass B: pass\r\nx = 1", "'d'\nclass C: pass", "x\ndef g(): pass"])
+def test_pieces_give_what_the_whole_file_gives(monkeypatch, text):
+    how = ("blake2b6", ("entity", "edge", "base"), True, S.MEASURES)
+    whole = [r for rows in C._blocks("m/a.py", text, *how) for r in rows]
+    monkeypatch.setattr(P, "PIECE", 1)
+    cut = list(P.pieces(text))
+    assert len(cut) > 1 and "".join(t for _, t, _ in cut) == text
+    found = [r for rows in C._blocks("m/a.py", text, *how) for r in rows]
+    key = lambda r: (r["what"], r.get("pos", 0), str(sorted((k, str(v)) for k, v in r.items())))
+    assert sorted(found, key=key) == sorted(whole, key=key)
+
+
+def test_a_long_file_that_breaks_late_is_one_error(spark, monkeypatch):
+    monkeypatch.setattr(P, "PIECE", 10)
+    text = "def f():\n    g()\n" * 5 + "class A:\n    x = (\n"
+    schema = C.pa.schema(C._FIELDS)
+    rows = [r for b in C._batches("a.py", text, schema, "blake2b6", ("edge",), True, ()) for r in b.to_pylist()]
+    assert [r["what"] for r in rows] == ["error"] and "line 12" in rows[0]["error"]
+    assert len([r for b in C._batches("a.py", text[:85], schema, "blake2b6", ("edge",), True, ()) for r in b.to_pylist()]) == 5
