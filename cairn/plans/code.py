@@ -26,7 +26,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = C.parse(C.kept(sources(spark, sf_dir)), "md5_48").filter("what = 'entity' and kind <> 'module'")
+    found = C.parse(C.kept(sources(spark, sf_dir)), "md5_48", ("entity",), False, ("body_hash", "complexity", "loc", "comment_hash", "comments", "param_types")).filter("what = 'entity'")
     first = F.col("comments")[0]
     return found.select("path", "qualname", "kind", "lineno", "end_lineno", "signature", "parent_qualname", "body_hash", "complexity", "loc", "comment_hash", F.size("comments").alias("n_comments"), first["text"].alias("comment"), F.try_element_at("param_types", F.lit("other")).alias("other_type"))
 
