@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions import source
+from cairn.functions import text as T
 from cairn.operators import briefing, evidence, graph, harvest, knowledge, lineage, rank, resolve, verify
 from cairn.plans import registry
 from cairn.streaming import logs
@@ -232,3 +234,15 @@ def test_inherited_rows_are_counted_before_the_join(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, whole.collect())) == [("a", "N", 1, 7, 3), ("b", "M", 2, 1, 1), ("b", "N", 1, 14, 6)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_text_sketch_is_the_expression_and_no_shingle_is_a_row(spark):
+    texts = ["", " ", "a", "a b", "a b c", "x_1 é ñandú 42 \u2003漢字 ½ a\x85b", "word " * 9]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string").select("k", T.sketch_of("text").alias("s"), F.size(T.shingles(T.tokens("text"))).alias("n")).collect()
+    for r in rows:
+        n, found = source.text_sketch(texts[r["k"]])
+        assert (n, found.tolist()) == (r["n"], r["s"])
+    long = " ".join(f"w{k}" for k in range(5000))
+    n, found = source.text_sketch(long)
+    assert (found.tolist(), n) == source.sketch(long, "md5_48")
+    assert "Generate" not in registry.queries()["minhash_sketch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
