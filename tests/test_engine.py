@@ -246,3 +246,34 @@ def test_text_sketch_is_the_expression_and_no_shingle_is_a_row(spark):
     n, found = source.text_sketch(long)
     assert (found.tolist(), n) == source.sketch(long, "md5_48")
     assert "Generate" not in registry.queries()["minhash_sketch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _walks(edges, seeds, depth):
+    """Plain Python: {(seed, coord): first depth} and {(seed, coord): best product}."""
+    first, best = {}, {}
+    for s in seeds:
+        at, label = {s: 0}, {s: 1.0}
+        front, wave = {s}, {s: 1.0}
+        for d in range(1, depth + 1):
+            front = {a for a, b, _ in edges if b in front and a != b} - set(at)
+            at |= dict.fromkeys(front, d)
+            step = {}
+            for a, b, w in edges:
+                if b in wave:
+                    step[a] = max(step.get(a, 0), wave[b] * w)
+            wave = {a: c for a, c in step.items() if c > label.get(a, 0)}
+            label |= wave
+        first |= {(s, c): d for c, d in at.items() if d}
+        best |= {(s, c): x for c, x in label.items() if c != s}
+    return first, best
+
+
+def test_walks_of_more_seeds_than_a_row_has_bits(spark):
+    edges = [(f"n{i}", f"n{j}", 0.5 + (i * j % 7) / 20) for i in range(90) for j in ((i * 7 + 3) % 90, (i + 11) % 90)]
+    df = spark.createDataFrame([(a, b, "calls", w) for a, b, w in edges], "src string, dst string, kind string, confidence double")
+    names = [f"n{i}" for i in range(80)]
+    seeds = spark.createDataFrame([(s, s) for s in names], "seed string, coord string")
+    first, best = _walks(edges, names, 3)
+    assert {(r["seed"], r["coord"]): r["depth"] for r in graph.blast_radius(seeds, df, 3).collect()} == first
+    found = {(r["seed"], r["coord"]): r["confidence"] for r in graph.confidence_reach(seeds, df, max_depth=3).collect()}
+    assert found == pytest.approx(best)
