@@ -277,3 +277,21 @@ def test_walks_of_more_seeds_than_a_row_has_bits(spark):
     assert {(r["seed"], r["coord"]): r["depth"] for r in graph.blast_radius(seeds, df, 3).collect()} == first
     found = {(r["seed"], r["coord"]): r["confidence"] for r in graph.confidence_reach(seeds, df, max_depth=3).collect()}
     assert found == pytest.approx(best)
+
+
+def test_centrality_stops_where_nothing_moves(spark, monkeypatch):
+    """Sources, a layered part and a cycle, against 20 plain rounds; without a cycle there are as few rounds as layers."""
+    def plain(pairs):
+        nodes = sorted({x for p in pairs for x in p})
+        r = dict.fromkeys(nodes, 1 / len(nodes))
+        for _ in range(20):
+            r = {n: 0.15 / len(nodes) + 0.85 * sum(r[s] / sum(x == s for x, _ in pairs) for s, d in pairs if d == n) for n in nodes}
+        return {n: v / max(r.values()) for n, v in r.items()}
+
+    layered = [(f"o{i}", f"p{i % 5}") for i in range(20)] + [(f"p{i}", f"s{i % 2}") for i in range(5)] + [("s0", "z"), ("s1", "z")]
+    rounds, real = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: rounds.append(1) or real(df))
+    for pairs, most in ((layered, 12), (layered + [("z", "c1"), ("c1", "c2"), ("c2", "c1"), ("c2", "s0")], 40)):
+        rounds.clear()
+        found = {x["coord"]: x["centrality"] for x in graph.centrality(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+        assert found == pytest.approx(plain(pairs)) and len(rounds) <= most
